@@ -5,10 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash
+from . import decontam, langid, pieces, pii, quality, simhash, toxicity
 from .common import id_remainder, table
 
 
+INSULTS = ("idiot", "moron", "loser", "clown", "scum")
+CONTEMPT = ("stupid", "pathetic", "worthless", "disgusting", "trash")
+
+
+def toxic_categories(text: str = "text") -> dict:
+    """Chain order: toxic rows with a word of either list, weakly labelled, then the label itself."""
+    has = lambda words: F.lower(F.coalesce(F.col(text), F.lit(""))).rlike("(?:" + "|".join(words) + ")")
+    toxic = F.col("label.toxic") == 1
+    return {"insult": (toxic & has(INSULTS)), "contempt": (toxic & has(CONTEMPT)), "toxic": toxic}
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document; flagged from 0.5 in the last category."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxic_categories())
+    out = docs.select("doc_id", toxicity.probabilities(F.col("text"), chain, spark).alias("p"))
+    named = [F.col(f"p.{c}").alias(f"p_{c}") for c in chain.categories]
+    return out.select("doc_id", *named, F.col("p.toxic").alias("score"), (F.col("p.toxic") >= 0.5).alias("toxic"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labelled documents outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(id_remainder(5) != 0))
+    out = docs.select("doc_id", (id_remainder(5) == 0).alias("held_out"), quality.score(F.col("text"), model, spark).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data pseudonymised."""
+    out = table(spark, sf_dir, "documents").select("doc_id", pii.masked(F.col("text")).alias("m"))
+    return out.select("doc_id", F.col("m.text").alias("text"), F.size("m.kinds").cast("long").alias("n_found"), F.array_join("m.kinds", ",").alias("kinds"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Every document's pieces, and whether they decode to its text."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(model or model_path()))
+
+
+def model_path() -> str:
+    """The public vocabulary file used where no other is given."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items, with the items and the coverage."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.components(table(spark, sf_dir, "documents"))
@@ -25,6 +76,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op5_pii": op5_pii,
+    "op6_pieces": op6_pieces,
+    "op7_decontaminate": op7_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
 }
