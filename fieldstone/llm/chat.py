@@ -196,7 +196,7 @@ def read_turns(formatted: Column) -> Column:
         text = F.substring(body, F.length(role) + 2, F.length(body))
         return F.struct(F.url_decode(role).alias("role"), unescape(text).alias("text"))
 
-    return F.transform(F.slice(F.split(formatted, r"<\|im_start\|>", -1), 2, 2147483647), of)
+    return F.transform(F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda _, i: i > 0), of)
 
 
 def masked_text(parts: Column) -> Column:

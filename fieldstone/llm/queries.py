@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, pieces, pii, quality, simhash, sketch, toxicity
+from . import chat, decontam, html, langid, pieces, pii, quality, simhash, sketch, toxicity
 from .common import id_remainder, table
 
 
@@ -56,6 +56,13 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    text = html.extracted(F.col("html"), html.train(pages), spark)
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data pseudonymised."""
     out = table(spark, sf_dir, "documents").select("doc_id", pii.masked(F.col("text")).alias("m"))
@@ -103,6 +110,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_chat": op3_chat,
+    "op4_main_text": op4_main_text,
     "op5_pii": op5_pii,
     "op6_pieces": op6_pieces,
     "op7_decontaminate": op7_decontaminate,
@@ -110,7 +118,18 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
 }
+# The given pages all mark their article; what is learned must find the same text.
 ORACLE_SQL = {
+    "op4_main_text": r"""
+        WITH a AS (
+            SELECT page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS body FROM pages
+        ), b AS (
+            SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a
+        ), c AS (
+            SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(
+                t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b
+        )
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c""",
     "op3_chat": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
