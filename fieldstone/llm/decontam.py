@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 1. Seeds.  Every run of ``min_match`` words of the benchmark is hashed (Karp-Rabin).  A bit filter of
-   fixed size over the seed hashes is broadcast; documents are read once and each keeps its distinct
-   hashes that pass the filter.  Only documents with such hashes go on.
+   bounded size over the seed hashes is broadcast; documents are read once and each keeps its distinct
+   hashes that pass the filter.  Only documents with enough such hashes for some item go on.
 2. Candidates.  Those hashes are joined with the benchmark's seeds.  A tiling that covers a share
    ``threshold`` of an item's n words by tiles of at least ``min_match`` words contains at least
    threshold * n / min_match of the item's seeds, so pairs with fewer are dropped without loss.
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +36,44 @@ BASE = 0x9E3779B97F4A7C15
 FILTER_BITS = (16, 26)  # log2 of the filter's size, least and most: 8 kB to 8 MB
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered; forgets all when it holds too many words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-WORD = re.compile(r"[^\W_]+")
-
-
-def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
-    """Hashes of the lower-cased words of letters and digits, in order."""
-    words = WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+BYTE_BASE = 0x100000001B3
+IN_WORD = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+SEPARATOR = re.compile(r"[^\x00-\x7f\w]+")
+
+
+class WordHashes:
+    """Hashes of a text's lower-cased words of letters and digits, in order, all at once: each is the
+    difference of two prefix sums of bytes times powers, brought to the power 0, and mixed."""
+
+    def __init__(self):
+        self._powers(1 << 14)
+
+    def _powers(self, n: int) -> None:
+        ones = np.full(n, BYTE_BASE, np.uint64)
+        ones[0] = 1
+        self.power = np.multiply.accumulate(ones)
+        ones[1:] = pow(BYTE_BASE, -1, 1 << 64)
+        self.inverse = np.multiply.accumulate(ones)
+
+    def of(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint64)
+        text = text.lower()
+        if not text.isascii() and SEPARATOR.search(text):
+            text = SEPARATOR.sub(" ", text)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(raw) > len(self.power):
+            self._powers(2 * len(raw))
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = IN_WORD[raw]
+        edges = np.flatnonzero(np.diff(inside))
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.power[: len(raw)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.inverse[start]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -127,7 +147,7 @@ def benchmark_seeds(benchmark: DataFrame, item_id: str, text: str, min_match: in
     def seeds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for texts in batches:
-            rows = [word_hashes(t, known) for t in texts]
+            rows = [known.of(t) for t in texts]
             yield pd.DataFrame({"words": [len(r) for r in rows], "seeds": [rolling(r, min_match).view(np.int64) for r in rows]})
 
     of = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("item"), F.monotonically_increasing_id().alias("item_row"))
@@ -137,7 +157,7 @@ def benchmark_seeds(benchmark: DataFrame, item_id: str, text: str, min_match: in
 def seed_filter(seeds: DataFrame, count: int) -> np.ndarray:
     """A bit array of 2**16 to 2**26 bits with the bit of every seed set.  Its size is fixed, so it
     may be broadcast whatever the benchmark's size; a fuller filter only lets more through."""
-    bits = int(min(max(np.ceil(np.log2(64 * max(count, 1))), FILTER_BITS[0]), FILTER_BITS[1]))
+    bits = int(min(max(np.ceil(np.log2(4096 * max(count, 1))), FILTER_BITS[0]), FILTER_BITS[1]))
     place = F.shiftrightunsigned("seed", 64 - bits)
     words = seeds.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -153,7 +173,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     need = F.ceil(F.col("words") * threshold / min_match)
     seeds = items.select("item_row", "words", F.explode("seeds").alias("seed")).groupBy("item_row", "seed").agg(F.count(F.lit(1)).alias("n"), F.first(need).alias("need"))
     seeds = settle(seeds, "seeds")
-    field = spark.sparkContext.broadcast(seed_filter(seeds, seeds.count()))
+    count, fewest, often = seeds.agg(F.count(F.lit(1)), F.min("need"), F.max("n")).first()
+    least = max(1, -(-(fewest or 1) // (often or 1)))  # no pair needs fewer distinct seeds
+    field = spark.sparkContext.broadcast(seed_filter(seeds, count))
 
     @F.pandas_udf("array<long>")
     def passing(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -162,12 +184,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         for texts in batches:
             out = []
             for t in texts:
-                h = rolling(word_hashes(t, known), min_match)
+                h = rolling(known.of(t), min_match)
                 p = h >> shift
                 out.append(np.unique(h[(bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1]).view(np.int64))
             yield pd.Series(out)
 
-    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("doc")).withColumn("hits", passing("doc")).filter(F.size("hits") > 0)
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("doc")).withColumn("hits", passing("doc")).filter(F.size("hits") >= least)
     read = settle(read.withColumn("doc_row", F.monotonically_increasing_id()), "seeded")
     pairs = (
         read.select("doc_row", F.explode("hits").alias("seed")).join(seeds, "seed")
@@ -180,7 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     def tiled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for item, doc in batches:
-            got = [greedy_tiles(word_hashes(i, known), word_hashes(d, known), min_match) for i, d in zip(item, doc)]
+            got = [greedy_tiles(known.of(i), known.of(d), min_match) for i, d in zip(item, doc)]
             yield pd.DataFrame({"covered": [sum(n for _, _, n in t) for t in got], "tiles": [len(t) for t in got]}, dtype="int32")
 
     both = read.select("doc_row", "doc_id", "doc").join(pairs, "doc_row").join(items.select("item_row", "item_id", "item", "words"), "item_row")
