@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Hashed, bounded_sample, pairs_of
 from .linear import hinge_dual, log_count_ratio, platt, sigmoid
@@ -81,7 +82,7 @@ def _coders() -> tuple[Hashed, Hashed]:
     return Hashed(BITS), Shapes(BITS)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     coders = _coders()
     for texts in batches:
