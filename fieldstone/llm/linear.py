@@ -70,21 +70,37 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 60):
     return float(a), float(b)
 
 
-def logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, dim: int, epochs: int = 6, rate: float = 0.3, l2: float = 1e-6, seed: int = 5):
-    """Logistic regression by Adagrad, row by row; ``extra`` holds dense columns beside the 0/1
-    features.  Returns weights, weights of the dense columns, bias."""
-    w, g2 = np.zeros(dim), np.full(dim, 1e-2)
-    e, eg, b, bg = np.zeros(extra.shape[1]), np.full(extra.shape[1], 1e-2), 0.0, 1e-2
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            r, x = rows[i], extra[i]
-            d = float(sigmoid(w[r].sum() + e @ x + b) - y[i])
-            grad = d + l2 * w[r]
-            g2[r] += grad * grad
-            w[r] -= rate * grad / np.sqrt(g2[r])
-            eg += (d * x) ** 2
-            e -= rate * d * x / np.sqrt(eg)
-            bg += d * d
-            b -= rate * d / np.sqrt(bg)
-    return w, e, b
+def telling(rows: list[np.ndarray], y: np.ndarray, dim: int, least: float = 4.5, most: int = 8192) -> np.ndarray:
+    """The features whose shares in the two classes differ by ``least`` standard errors, sorted."""
+    pos, neg = document_counts(rows, y == 1, dim), document_counts(rows, y != 1, dim)
+    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y != 1).sum()))
+    share = (pos + neg) / (n1 + n0)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    z = np.where(pos + neg >= 3, np.abs(pos / n1 - neg / n0) / error, 0)
+    kept = np.flatnonzero(z >= least)
+    return np.sort(kept[np.argsort(-z[kept], kind="stable")[:most]])
+
+
+def logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, dim: int, steps: int = 250, rate: float = 0.1, penalty: float = 0.02):
+    """Logistic regression by Adam on the whole sample, over the telling features and the dense
+    columns of ``extra``.  Returns weights by feature, weights of the dense columns, bias."""
+    n, kept = len(rows), telling(rows, y, dim)
+    place = np.full(dim, -1, np.int64)
+    place[kept] = np.arange(len(kept))
+    col = place[np.concatenate(rows)] if n else kept
+    row = np.repeat(np.arange(n), [len(r) for r in rows])[col >= 0]
+    col = col[col >= 0]
+    k, m = len(kept), extra.shape[1]
+    x = np.zeros(k + m + 1)
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    x[-1] = np.log(share / (1 - share))
+    first, second = np.zeros_like(x), np.zeros_like(x)
+    for t in range(1, steps + 1):
+        d = sigmoid(np.bincount(row, x[col], n) + extra @ x[k : k + m] + x[-1]) - y
+        g = np.concatenate((np.bincount(col, d[row], k), d @ extra, [d.sum()])) + penalty * np.append(x[:-1], 0)
+        g /= n
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        x -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
+    w = np.zeros(dim)
+    w[kept] = x[:k]
+    return w, x[k : k + m], float(x[-1])

@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted one after another.  The linear model of a category reads the text's
-words and adjacent word pairs and, beside them, the probabilities of all earlier categories.  While
+words, their starts and adjacent pairs and, beside them, the probabilities of all earlier categories.  While
 training, those probabilities are out-of-fold predictions, so that later models see them as noisy as
 they will be on new text; the models used on the corpus are fitted on all rows.
 
@@ -16,6 +16,7 @@ scored whole; repeated rows get equal results; without any labelled rows all pro
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,11 +24,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Hashed, bounded_sample, pairs_of
 from .linear import logistic, sigmoid
 
-BITS = 18
+BITS = 20
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -41,31 +43,40 @@ class Chain:
     bias: tuple[float, ...]
 
 
-def features(text: str | None, known: Hashed) -> np.ndarray:
-    """Distinct buckets of the lower-cased words and of adjacent pairs, sorted."""
-    words = WORD.findall(text.lower()) if text else []
-    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return np.unique(np.concatenate((ids, pairs_of(ids, 11, BITS)))) if len(ids) else ids
+class Starts(Hashed):
+    """Word -> bucket of its first four letters, which many inflected forms share."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.most:
+            self.clear()
+        self[word] = out = zlib.crc32(("^" + word[:4]).encode("utf-8", "surrogatepass")) & self.mask
+        return out
+
+
+def features(text: str | None, words: Hashed, starts: Hashed) -> np.ndarray:
+    """Distinct buckets of the lower-cased words, their starts and adjacent pairs, sorted."""
+    found = WORD.findall(text.lower()) if text else []
+    if not found:
+        return np.zeros(0, np.int64)
+    ids = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+    heads = np.fromiter(map(starts.__getitem__, found), np.int64, len(found))
+    return np.unique(np.concatenate((ids, heads, pairs_of(ids, 11, BITS))))
 
-@F.pandas_udf("array<int>")
-def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    known = Hashed(BITS)
-    for texts in batches:
-        yield pd.Series([features(t, known).astype(np.int32) for t in texts])
 
+def _coders() -> tuple[Hashed, Hashed]:
+    return Hashed(BITS), Starts(BITS)
 
-def useful(rows: list[np.ndarray], least: int = 3) -> list[np.ndarray]:
-    """The rows without features that fewer than ``least`` rows have."""
-    if not rows:
-        return rows
-    n = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    return [r[n[r] >= least] for r in rows]
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    coders = _coders()
+    for texts in batches:
+        yield pd.Series([features(t, *coders).astype(np.int32) for t in texts])
 
 
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: Sequence[str], folds: int = 3) -> Chain:
     """``labels``: one 0/1 column per category, in chain order."""
-    rows, n = useful(rows), len(rows)
+    n = len(rows)
     fold = np.random.default_rng(1).permutation(n) % folds
     before = np.zeros((n, 0))
     words, earlier, bias = [], [], []
@@ -92,7 +103,7 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: Sequence[s
     return Chain(tuple(categories), np.array(words, np.float32), tuple(earlier), tuple(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", max_train: int = 5000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", max_train: int = 10_000) -> Chain:
     """``categories``: for each category, in chain order, a 0/1 column over the joined ``docs`` and
     ``labels``.  At most about ``max_train`` labelled rows are drawn, by a hash of their id."""
     named = [c for c in labels.columns if c.lower() != doc_id.lower()]
@@ -113,9 +124,9 @@ def probabilities(text: Column, chain: Chain, spark) -> Column:
 
     @F.pandas_udf(", ".join(f"{c} double" for c in names))
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, (words, earlier, bias) = Hashed(BITS), shared.value
+        coders, (words, earlier, bias) = _coders(), shared.value
         for texts in batches:
-            sums = np.array([words[:, features(t, known)].sum(axis=1, dtype=np.float64) for t in texts]).reshape(-1, len(bias))
+            sums = np.array([words[:, features(t, *coders)].sum(axis=1, dtype=np.float64) for t in texts]).reshape(-1, len(bias))
             done = np.zeros((len(sums), 0))
             for c in range(len(bias)):
                 done = np.column_stack((done, sigmoid(sums[:, c] + done @ earlier[c] + bias[c])))
