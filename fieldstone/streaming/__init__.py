@@ -1,0 +1,2 @@
+"""Streams need no operators of their own: predicates from ``fieldstone.plans.filters`` are Columns and
+filter a ``readStream`` DataFrame as they filter a table."""
