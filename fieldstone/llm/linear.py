@@ -70,7 +70,7 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 60):
     return float(a), float(b)
 
 
-def telling(rows: list[np.ndarray], y: np.ndarray, dim: int, least: float = 4.5, most: int = 8192) -> np.ndarray:
+def telling(rows: list[np.ndarray], y: np.ndarray, dim: int, least: float = 4.5, most: int = 4096) -> np.ndarray:
     """The features whose shares in the two classes differ by ``least`` standard errors, sorted."""
     pos, neg = document_counts(rows, y == 1, dim), document_counts(rows, y != 1, dim)
     n1, n0 = max(1, int((y == 1).sum())), max(1, int((y != 1).sum()))
@@ -81,7 +81,7 @@ def telling(rows: list[np.ndarray], y: np.ndarray, dim: int, least: float = 4.5,
     return np.sort(kept[np.argsort(-z[kept], kind="stable")[:most]])
 
 
-def logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, dim: int, steps: int = 250, rate: float = 0.1, penalty: float = 0.02):
+def logistic(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, dim: int, steps: int = 150, rate: float = 0.15, penalty: float = 0.02):
     """Logistic regression by Adam on the whole sample, over the telling features and the dense
     columns of ``extra``.  Returns weights by feature, weights of the dense columns, bias."""
     n, kept = len(rows), telling(rows, y, dim)
