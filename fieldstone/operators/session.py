@@ -9,6 +9,7 @@ snapshot.  Bulk work is staged as DataFrames and never passes through the driver
 from __future__ import annotations
 
 import copy
+import tempfile
 from collections.abc import Iterable
 from functools import reduce
 from typing import Any
@@ -68,6 +69,14 @@ def _canonical(value: Any) -> Any:
     return value
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder, so that made ids stay the same and later steps recompute nothing."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldstone-"))
+    return rows.checkpoint()
+
+
 class Session:
     """Use as a context manager: leaving without ``save`` discards."""
 
@@ -84,7 +93,8 @@ class Session:
     def open(self) -> None:
         """Pins the current commit and forgets everything staged."""
         self.commit = self.store.latest()
-        self._there = set(self.store.tables(self.commit))
+        self._manifest = self.store.manifest(self.commit)
+        self._there = set(self._manifest)
         self._staged = {name: Staged() for name in self.models}
 
     abort = clear_tracking = open
@@ -105,7 +115,7 @@ class Session:
     def base(self, name: str) -> DataFrame:
         """The pinned snapshot, without staged changes."""
         model = self._model(name)
-        return self.store.read(name, self.commit) if name in self._there else self.spark.createDataFrame([], model.schema)
+        return self.store.rows(self._manifest[name]) if name in self._there else self.spark.createDataFrame([], model.schema)
 
     def rows(self, name: str) -> DataFrame:
         """The snapshot with this session's staged changes."""
@@ -141,9 +151,19 @@ class Session:
             return None
         if id_value in staged.known:
             return staged.known[id_value][0]
-        found = self.track(name, DocSet(self.rows(name), model, self.cache).load(id_value))
+        found = self.track(name, DocSet(self._shard_or_view(name, model.id_literal(id_value)), model, self.cache).load(id_value))
         return found[0] if found else None
 
+    def _shard_or_view(self, name: str, id_literal) -> DataFrame:
+        """Where a row of that id is: one shard of the snapshot unless bulk changes are staged."""
+        staged = self._staged[name]
+        if staged.deletes or staged.inserts or staged.updates:
+            return self._view(name)
+        if name not in self._there:
+            return self.base(name)
+        entry = self._manifest[name]
+        return self.store.rows(entry, [self.store.shard_of(entry, id_literal)])
+
     # -- staging
 
     def _next(self) -> int:
@@ -241,19 +261,27 @@ class Session:
         touched = [n for n, s in self._staged.items() if s.touched()]
         if not touched:
             return self.commit
-        there, staged = set(self.store.tables(now)), {}
+        manifest, staged = self.store.manifest(now), {}
         try:
             for name in touched:
-                model, changes = self.models[name], self._changes(name)
-                base = self.store.read(name, now) if name in there else self.spark.createDataFrame([], model.schema)
+                model, changes, entry = self.models[name], self._changes(name), manifest.get(name)
+                changes = ch.ChangeSet(*(settled(d) for d in (changes.deletes, changes.inserts, changes.updates)))
+                shards = None
+                base = self.spark.createDataFrame([], model.schema)
+                if entry:
+                    ids = changes.deletes.select(model.id).union(changes.inserts.select(model.id)).union(changes.updates.select(model.id))
+                    shards = [r[0] for r in ids.select(self.store.shard(F.col(model.id), entry["shards"])).distinct().collect()]
+                    base = self.store.rows(entry, shards)
                 version = model.version if self.conventions.version_attribute else None
                 if version:
                     failed = ch.conflicts(base, changes.updates, model.id, version)
                     if not failed.isEmpty():
                         raise ch.ConcurrencyError(failed, model.id)
                 after = ch.apply(base, changes, model.id, version, self.conventions.strict_insert)
-                staged[name] = self.store.stage(name, after, model.id)
-                check_indexes(self.store.spark.read.schema(after.schema).parquet(f"{self.store.root}/{staged[name]['folder']}"), [i for i in self.indexes if i.collection == name])
+                staged[name] = self.store.stage(name, after, model.id, entry, shards)
+                unique = [i for i in self.indexes if i.collection == name and i.unique]
+                if unique:
+                    check_indexes(self.store.rows(staged[name]), unique)
         except Exception:
             self.store.discard(staged)
             raise
@@ -263,7 +291,8 @@ class Session:
 
     def _accept(self, commit: int) -> None:
         """The published commit becomes the snapshot; versions of saved entities go up."""
-        self.commit, self._there = commit, set(self.store.tables(commit))
+        self.commit, self._manifest = commit, self.store.manifest(commit)
+        self._there = set(self._manifest)
         for name, s in self._staged.items():
             version = self.models[name].version if self.conventions.version_attribute else None
             for key in s.dirty():

@@ -1,7 +1,9 @@
 """Versioned Parquet snapshots with atomic commits over several tables.
 
-A table's rows are immutable folders of Parquet files; a commit writes new folders and then one small
-commit file that names the current folder of every table.  The file's number is one above the commit that
+A table's rows are dealt to a fixed number of shards by a hash of their id; a shard is an immutable folder
+of Parquet files, sorted by id.  A commit writes new folders for the shards it touches only, so a small
+change of a large table rewrites a small part of it, and a load by id reads one shard.  One small commit
+file then names the current folder of every shard of every table.  The file's number is one above the commit that
 was read, and it is created only if no file of that number exists, so of two writers from the same base
 one fails and nothing it wrote becomes visible.  Readers pin the commit they opened.  All access goes
 through Spark's file system, so the root may be in any store that Spark reads.
@@ -12,7 +14,8 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -21,10 +24,11 @@ class StaleSnapshotError(Exception):
 
 
 class Store:
-    """Tables below one root folder."""
+    """Tables below one root folder.  ``shards`` is for new tables: pick it so that a shard holds some
+    hundred MB to a few GB."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, shards: int = 16):
+        self.spark, self.root, self.shards = spark, root.rstrip("/"), shards
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -43,7 +47,7 @@ class Store:
         return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
     def manifest(self, commit: int) -> dict[str, dict]:
-        """table -> {folder, schema, rows' layout} of a commit."""
+        """table -> {schema, key, shards: how many, folders: shard -> folder} of a commit."""
         if commit == 0:
             return {}
         stream = self._fs().open(self._path(f"_commits/{commit:012d}.json"))
@@ -52,22 +56,42 @@ class Store:
         finally:
             stream.close()
 
-    def read(self, table: str, commit: int | None = None) -> DataFrame:
-        """The table's rows as of a commit, by default the current one."""
-        entry = self.manifest(self.latest() if commit is None else commit)[table]
+    def read(self, table: str, commit: int | None = None, shards: list[int] | None = None) -> DataFrame:
+        """The table's rows as of a commit, by default the current one; only of some shards if given."""
+        return self.rows(self.manifest(self.latest() if commit is None else commit)[table], shards)
+
+    def rows(self, entry: dict, shards: list[int] | None = None) -> DataFrame:
+        """The rows that a manifest entry, published or only staged, names."""
         schema = T.StructType.fromJson(json.loads(entry["schema"]))
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{entry['folder']}")
+        wanted = None if shards is None else set(map(str, shards))
+        paths = [f"{self.root}/{f}" for s, f in sorted(entry["folders"].items()) if wanted is None or s in wanted]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def tables(self, commit: int | None = None) -> list[str]:
         return sorted(self.manifest(self.latest() if commit is None else commit))
 
-    def stage(self, table: str, rows: DataFrame, sort_by: str | None = None) -> dict:
-        """Writes rows to a folder that no commit names yet.  With ``sort_by`` files cover ranges of that
-        column, so that scans for one value skip nearly all row groups."""
+    @staticmethod
+    def shard(key: Column, shards: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+    def shard_of(self, entry: dict, value: Column) -> int:
+        """The shard of one id, given as a literal; runs no job."""
+        return self.spark.sql("SELECT 1 AS x").select(self.shard(value, entry["shards"])).first()[0]
+
+    def stage(self, table: str, rows: DataFrame, key: str, before: dict | None = None, touched: list[int] | None = None) -> dict:
+        """Writes rows to folders that no commit names yet and gives the table's new entry.  ``before`` is
+        its current entry; with ``touched`` the rows are all rows of those shards and the others stay."""
+        n = before["shards"] if before else self.shards
         folder = f"{table}/{uuid.uuid4().hex}"
-        laid = rows.repartitionByRange(sort_by).sortWithinPartitions(sort_by) if sort_by else rows
-        laid.write.parquet(f"{self.root}/{folder}")
-        return {"folder": folder, "schema": rows.schema.json()}
+        dealt = rows.withColumn("__shard", self.shard(F.col(key), n)).repartition(min(n, len(touched) if touched else n), "__shard")
+        dealt.sortWithinPartitions("__shard", key).write.partitionBy("__shard").parquet(f"{self.root}/{folder}")
+        made = {}
+        for s in self._fs().listStatus(self._path(folder)):
+            name = s.getPath().getName()
+            if name.startswith("__shard="):
+                made[name.partition("=")[2]] = f"{folder}/{name}"
+        kept = {} if before is None or touched is None else {s: f for s, f in before["folders"].items() if int(s) not in set(touched)}
+        return {"schema": rows.schema.json(), "key": key, "shards": n, "folders": kept | made, "new": folder}
 
     def publish(self, staged: dict[str, dict], base: int) -> int:
         """Makes staged folders current in one step, if ``base`` still is the current commit."""
@@ -102,16 +126,18 @@ class Store:
     def discard(self, staged: dict[str, dict]) -> None:
         """Removes staged folders."""
         for entry in staged.values():
-            self._fs().delete(self._path(entry["folder"]), True)
+            self._fs().delete(self._path(entry["new"]), True)
 
     def vacuum(self, keep: int = 1) -> int:
         """Removes folders that none of the last ``keep`` commits names; returns how many."""
         fs, last = self._fs(), self.latest()
-        live = {e["folder"] for c in range(max(1, last - keep + 1), last + 1) for e in self.manifest(c).values()}
+        live = {f for c in range(max(1, last - keep + 1), last + 1) for e in self.manifest(c).values() for f in e["folders"].values()}
         gone = 0
         for table in self.tables(last):
-            for s in fs.listStatus(self._path(table)):
-                if f"{table}/{s.getPath().getName()}" not in live:
-                    fs.delete(s.getPath(), True)
-                    gone += 1
+            for made in fs.listStatus(self._path(table)):
+                for s in fs.listStatus(made.getPath()):
+                    name = s.getPath().getName()
+                    if name.startswith("__shard=") and f"{table}/{made.getPath().getName()}/{name}" not in live:
+                        fs.delete(s.getPath(), True)
+                        gone += 1
         return gone

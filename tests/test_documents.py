@@ -137,14 +137,29 @@ def test_bulk_changes_attach_and_unversioned(spark, store):
     s.save()
     assert {r.Id: r.Name for r in s.rows("people").collect()} == {str(i): {95: "u", 96: "edited"}.get(i, "n") for i in range(90, 100)}
     assert rows_of(store.read("people", 1).agg(F.count(F.lit(1)))) == [(100,)]
-    assert store.vacuum() == 1
+    first, second = store.manifest(1)["people"], store.manifest(2)["people"]
+    assert set(first["folders"].values()) - set(second["folders"].values())
+    assert store.vacuum() == len(set(first["folders"].values()) - set(second["folders"].values()))
+
+
+def test_small_changes_rewrite_few_shards(spark, store):
+    s = open_(store)
+    s.insert("people", spark.range(200).select(F.col("id").cast("string").alias("Id"), F.lit("n").alias("Name"), F.lit(1).cast("long").alias("Version")))
+    s.save()
+    s.load("people", "7")["Name"] = "seven"
+    s.delete_one("people", "8")
+    s.save()
+    a, b = (store.manifest(c)["people"]["folders"] for c in (1, 2))
+    assert len(a) == 16 and 14 <= sum(a[k] == b.get(k) for k in a) <= 15
+    assert s.rows("people").count() == 199 and open_(store).load("people", "7") == {"Id": "7", "Name": "seven", "Version": 2}
+    assert open_(store).load("people", "8") is None
 
 
 def test_publishing_is_compare_and_swap(spark, store):
     one = store.stage("people", spark.createDataFrame([("1", "x", 1)], PERSON), "Id")
     assert store.publish({"people": one}, 0) == 1
     with pytest.raises(StaleSnapshotError):
-        store.publish({"people": store.stage("people", spark.createDataFrame([], PERSON))}, 0)
+        store.publish({"people": store.stage("people", spark.createDataFrame([], PERSON), "Id")}, 0)
     fs, draft = store._fs(), store._path("_commits/.draft")
     fs.create(draft, False).close()
     assert not store._claim(fs, draft, store._path("_commits/000000000001.json"))
