@@ -21,6 +21,14 @@ def id_remainder(n: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))
 
 
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
+    """Bounds the rows of an Arrow batch of this session: texts are long, and a worker holds a batch
+    several times over.  A smaller bound that is already set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have in any case."""
     taken = {c.lower() for c in df.columns}
@@ -84,7 +92,7 @@ def _rate(n: int, most: int) -> int:
 class Hashed(dict):
     """Word -> bucket below ``2**bits``, remembered; forgets all when it holds too many words."""
 
-    def __init__(self, bits: int, most: int = 300_000):
+    def __init__(self, bits: int, most: int = 150_000):
         super().__init__()
         self.mask, self.most = (1 << bits) - 1, most
 

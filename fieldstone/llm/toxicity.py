@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted one after another.  The linear model of a category reads the text's
-words, their starts and adjacent pairs and, beside them, the probabilities of all earlier categories.  While
+words and their starts and, beside them, the probabilities of all earlier categories.  While
 training, those probabilities are out-of-fold predictions, so that later models see them as noisy as
 they will be on new text; the models used on the corpus are fitted on all rows.
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashed, bounded_sample, pairs_of
+from .common import Hashed, bounded_sample, small_batches
 from .linear import logistic, sigmoid
 
 BITS = 20
@@ -54,13 +54,13 @@ class Starts(Hashed):
 
 
 def features(text: str | None, words: Hashed, starts: Hashed) -> np.ndarray:
-    """Distinct buckets of the lower-cased words, their starts and adjacent pairs, sorted."""
+    """Distinct buckets of the lower-cased words and their starts, sorted."""
     found = WORD.findall(text.lower()) if text else []
     if not found:
         return np.zeros(0, np.int64)
     ids = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
     heads = np.fromiter(map(starts.__getitem__, found), np.int64, len(found))
-    return np.unique(np.concatenate((ids, heads, pairs_of(ids, 11, BITS))))
+    return np.unique(np.concatenate((ids, heads)))
 
 
 def _coders() -> tuple[Hashed, Hashed]:
@@ -103,21 +103,23 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: Sequence[s
     return Chain(tuple(categories), np.array(words, np.float32), tuple(earlier), tuple(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", max_train: int = 10_000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", max_train: int = 8000) -> Chain:
     """``categories``: for each category, in chain order, a 0/1 column over the joined ``docs`` and
     ``labels``.  At most about ``max_train`` labelled rows are drawn, by a hash of their id."""
+    small_batches(docs.sparkSession)
     named = [c for c in labels.columns if c.lower() != doc_id.lower()]
     drawn = bounded_sample(labels.filter(F.col(doc_id).isNotNull()), doc_id, max_train)
     drawn = F.broadcast(drawn.select(F.col(doc_id).alias("__id"), F.struct(*named).alias("label")))  # bounded by max_train
     both = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(drawn, "__id")
     told = [F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{i}") for i, c in enumerate(categories.values())]
     got = both.select("__id", _features("text").alias("f"), *told).toPandas().sort_values("__id", kind="stable")
-    rows = [np.asarray(f, np.int64) for f in got["f"]]
+    rows = [np.asarray(f, np.int32) for f in got.pop("f")]
     return fit_chain(rows, got[[f"y{i}" for i in range(len(categories))]].to_numpy(), tuple(categories))
 
 
 def probabilities(text: Column, chain: Chain, spark) -> Column:
     """struct with one probability per category."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((chain.words, chain.earlier, chain.bias))  # a few MB, whatever the corpus
 
     names = list(chain.categories)
