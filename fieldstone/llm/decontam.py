@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, settle
+from .common import fresh, settle, small_batches
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
@@ -169,6 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """One row per document row and benchmark row that leaks into it: doc_id, item_id, item_words,
     covered_words, tiles, coverage."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = settle(benchmark_seeds(benchmark, item_id, item_text, min_match), "items")
     need = F.ceil(F.col("words") * threshold / min_match)
     seeds = items.select("item_row", "words", F.explode("seeds").alias("seed")).groupBy("item_row", "seed").agg(F.count(F.lit(1)).alias("n"), F.first(need).alias("need"))

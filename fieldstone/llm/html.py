@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, small_batches
 
 # HTML's block elements, elements without content, and elements that never hold prose.
 BLOCKS = frozenset("html body div p article section main header footer nav aside form fieldset figure figcaption h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre address details summary dialog menu center".split())
@@ -368,6 +368,7 @@ def train(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_pa
 
 def extracted(html: Column, model: Boosted | None, spark) -> Column:
     """The main text of each page."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.feature, model.limit, model.leaf, model.prior) if model else None)  # some kB
 
     @F.pandas_udf("string")

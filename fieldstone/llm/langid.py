@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fresh
+from .common import bounded_sample, fresh, small_batches
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -174,6 +174,8 @@ def scorer(model: ByteCnn):
 def predictor(model: ByteCnn):
     """Column function: text -> struct(lang, score)."""
 
+    small_batches(SparkSession.active())
+
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of_texts = scorer(model)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "\u2581"
 MAX_PIECES = 2_000_000
 
@@ -57,7 +59,7 @@ class Vocabulary:
 class Coder:
     """Encodes and decodes on one worker."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 100_000):
         import ahocorasick
 
         self.v, self.most, self.seen = vocabulary, remembered, {}
@@ -76,32 +78,26 @@ class Coder:
 
     def best(self, part: str) -> tuple[int, ...]:
         """The ids of the best segmentation of ``part``; '\\0' stands for a literal U+2581."""
-        n = len(part)
-        score, back = [0.0] + [None] * n, [None] * (n + 1)
-        unknown, done = self.v.unknown, 0
-
-        def single(to: int) -> None:
-            """Ends are final once the automaton has passed them: unreached ones take an unknown."""
-            nonlocal done
-            while done < to:
+        n, unknown, none = len(part), self.v.unknown, (-1, 1, 0.0)
+        score, back, done = [0.0] + [float("-inf")] * n, [none] * (n + 1), 0
+        for end, found in self.automaton.iter(part) if self.v.pieces else ():
+            # The automaton has passed all positions up to ``end``: they are final but for an unknown.
+            while done < end:
+                s = score[done] + unknown
                 done += 1
-                s = score[done - 1] + unknown
-                if score[done] is None or s > score[done]:
-                    score[done], back[done] = s, (-1, 1)
-
-        if self.v.pieces:
-            at = 0
-            for end, (i, size, s) in self.automaton.iter(part):
-                if end != at:
-                    single(end)
-                    at = end
-                s += score[end + 1 - size]
-                if score[end + 1] is None or s > score[end + 1]:
-                    score[end + 1], back[end + 1] = s, (i, size)
-        single(n)
+                if s > score[done]:
+                    score[done], back[done] = s, none
+            s = score[end + 1 - found[1]] + found[2]
+            if s > score[end + 1]:
+                score[end + 1], back[end + 1] = s, found
+        while done < n:
+            s = score[done] + unknown
+            done += 1
+            if s > score[done]:
+                score[done], back[done] = s, none
         out, at = [], n
         while at:
-            i, size = back[at]
+            i, size, _ = back[at]
             if i < 0:
                 c = part[at - 1]
                 raw = MARK if c == "\0" else c
@@ -148,6 +144,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text"
     """One row per row: key, n_pieces long, pieces array<int>, round_trip boolean (the pieces decode to
     exactly the text; null for a null text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((vocabulary.pieces, vocabulary.byte_ids, vocabulary.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

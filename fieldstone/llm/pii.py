@@ -24,10 +24,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, small_batches
 
 ROUNDS = 8
 DEFAULT_KEY = b"fieldstone demonstration key"
@@ -238,6 +238,8 @@ def masked(text: Column, key: bytes = DEFAULT_KEY) -> Column:
     """struct(text, kinds): the pseudonymised text and the kinds of the values found, in order.
     A real key must come from the caller; the default only makes runs repeatable."""
 
+    small_batches(SparkSession.active())
+
     @F.pandas_udf("text string, kinds array<string>")
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen: dict = {}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashed, bounded_sample, pairs_of
+from .common import Hashed, bounded_sample, pairs_of, small_batches
 from .linear import hinge_dual, log_count_ratio, platt, sigmoid
 
 BITS = 18
@@ -114,6 +114,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 0.5, folds: int = 2) -
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = 5000) -> NbSvm:
     """Fits the model on at most about ``max_train`` labelled rows, drawn by a hash of their id."""
+    small_batches(docs.sparkSession)
     usable = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
     drawn = bounded_sample(usable, doc_id, max_train).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y"))
     both = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(drawn), "__id")  # bounded by max_train
@@ -123,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(text: Column, model: NbSvm, spark) -> Column:
     """Probability of label 1."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset))  # 1 MB, whatever the corpus
 
     @F.pandas_udf("double")

@@ -28,11 +28,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fresh, settle
+from .common import discard, fresh, settle, small_batches
 
 RADIUS = 3
 CHUNK = 2048
@@ -61,6 +61,7 @@ def _fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint as a long with the same 64 bits."""
+    small_batches(SparkSession.active())
     return _fingerprint(text)
 
 
