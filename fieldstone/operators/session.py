@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldstone.functions.metrics import Metrics
 from fieldstone.plans.filters import FilterCache
 from fieldstone.plans.model import Conventions, Model
 from fieldstone.sources.store import Store
@@ -38,7 +39,8 @@ def _entity(row: Row) -> Entity:
 class Staged:
     """What a session has staged for one collection."""
 
-    def __init__(self):
+    def __init__(self, tracked: list[str]):
+        self.tracked = tracked
         self.deletes: list[DataFrame] = []
         self.inserts: list[DataFrame] = []
         self.updates: list[DataFrame] = []
@@ -54,7 +56,7 @@ class Staged:
         out = {}
         for key, (entity, snapshot) in self.known.items():
             if snapshot is not None and key not in self.added and key not in self.removed:
-                names = [c for c in entity if _canonical(entity[c]) != _canonical(snapshot.get(c))]
+                names = [c for c in self.tracked if _canonical(entity.get(c)) != _canonical(snapshot.get(c))]
                 if names:
                     out[key] = (entity, names)
         return out
@@ -80,10 +82,11 @@ def settled(rows: DataFrame) -> DataFrame:
 class Session:
     """Use as a context manager: leaving without ``save`` discards."""
 
-    def __init__(self, store: Store, models: Iterable[Model], conventions: Conventions = Conventions(), indexes: Iterable[Index] = ()):
+    def __init__(self, store: Store, models: Iterable[Model], conventions: Conventions = Conventions(), indexes: Iterable[Index] = (), metrics: Metrics | None = None):
         self.store, self.spark, self.conventions = store, store.spark, conventions
         self.models = {m.name: m for m in models}
         self.indexes = list(indexes)
+        self.metrics = metrics or Metrics(enabled=False)
         self.cache = FilterCache(conventions.filter_cache)
         self._seq = 0
         self.open()
@@ -95,7 +98,7 @@ class Session:
         self.commit = self.store.latest()
         self._manifest = self.store.manifest(self.commit)
         self._there = set(self._manifest)
-        self._staged = {name: Staged() for name in self.models}
+        self._staged = {name: Staged(m.tracked) for name, m in self.models.items()}
 
     abort = clear_tracking = open
 
@@ -203,6 +206,14 @@ class Session:
         staged.known.pop(key, None)
         staged.removed.add(key)
 
+    def delete_now(self, name: str, id_value: Any) -> None:
+        """Deletes one row at once, in a commit of its own; KeyError unless it is there."""
+        with Session(self.store, [self._model(name)], self.conventions) as own:
+            if own.load(name, id_value) is None:
+                raise KeyError(id_value)
+            own.delete_one(name, id_value)
+            own.save()
+
     def insert(self, name: str, rows: DataFrame) -> None:
         """Stages rows of any number; ids are made where missing and settled by the save."""
         model = self._model(name)
@@ -256,7 +267,12 @@ class Session:
 
         Raises ConcurrencyError if a row that is updated has another version by now or is gone, and
         StaleSnapshotError if another writer came between reading and publishing.  The session goes on
-        from the new commit; its entities stay tracked with their new values."""
+        from the new commit; its entities stay tracked with their new values.  Under conventions that are
+        not ``atomic`` every collection is published by itself, in order, and a failure leaves those before it."""
+        with self.metrics.command("save"):
+            return self._save()
+
+    def _save(self) -> int:
         now = self.store.latest()
         touched = [n for n, s in self._staged.items() if s.touched()]
         if not touched:
@@ -282,10 +298,13 @@ class Session:
                 unique = [i for i in self.indexes if i.collection == name and i.unique]
                 if unique:
                     check_indexes(self.store.rows(staged[name]), unique)
+                if not self.conventions.atomic:
+                    now = self.store.publish({name: staged.pop(name)}, now)
+                    manifest = self.store.manifest(now)
         except Exception:
             self.store.discard(staged)
             raise
-        done = self.store.publish(staged, now)
+        done = self.store.publish(staged, now) if staged else now
         self._accept(done)
         return done
 
@@ -299,6 +318,6 @@ class Session:
                 if version:
                     entity = s.known[key][0]
                     entity[version] = (entity.get(version) or 0) + 1
-            fresh = Staged()
+            fresh = Staged(s.tracked)
             fresh.known = {k: (e, Entity(copy.deepcopy(dict(e)))) for k, (e, _) in s.known.items()}
             self._staged[name] = fresh

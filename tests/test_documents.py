@@ -165,6 +165,30 @@ def test_publishing_is_compare_and_swap(spark, store):
     assert not store._claim(fs, draft, store._path("_commits/000000000001.json"))
 
 
+def test_untracked_fields_single_deletes_and_metrics(store):
+    m = Metrics()
+    s = Session(store, [Model("people", PERSON, ignored=("Name",))], metrics=m)
+    s.store_one("people", {"Id": "1", "Name": "x", "Version": 1})
+    s.save()
+    s.load("people", "1")["Name"] = "never seen"
+    assert s.pending("people")["dirty"] == [] and s.save() == 1 and m.count["save_seconds"] == 2
+    s.delete_now("people", "1")
+    with pytest.raises(KeyError):
+        s.delete_now("people", "1")
+    assert store.latest() == 2
+
+
+def test_best_effort_publishes_each_collection(spark, store):
+    loose = Conventions(atomic=False)
+    s = Session(store, [Model(n, PERSON, conventions=loose) for n in ("a", "b")], loose, [Index("b", ("Name",), unique=True)])
+    s.store_one("a", {"Id": "1", "Name": "x", "Version": 1})
+    for i in "12":
+        s.store_one("b", {"Id": i, "Name": "x", "Version": 1})
+    with pytest.raises(UniqueError):
+        s.save()
+    assert store.tables() == ["a"] and rows_of(store.read("a")) == [("1", "x", 1)]
+
+
 def test_unique_index_blocks_save(spark, store):
     s = open_(store, indexes=[Index("people", ("Name",), unique=True)])
     s.store_one("people", {"Id": "1", "Name": "x", "Version": 1})
