@@ -213,6 +213,19 @@ ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (_, p) in FORMATS.items()))
 MAY_HOLD = re.compile(r"[0-9@=]|(?i:password|passwd|pwd|secret|token)\s*:")
 
 
+def replaced(kind: str, text: str, key: bytes) -> str | None:
+    """A valid value's pseudonym.  Where the pattern took in following groups that don't belong to the
+    value, the longest valid head is replaced and the rest is searched by itself."""
+    new = FORMATS[kind][0](text, key)
+    if new is not None:
+        return new
+    for cut in (i for i in range(len(text) - 1, 0, -1) if text[i] in " -"):
+        head = ANY.fullmatch(text, 0, cut)
+        if head and (new := FORMATS[head.lastgroup][0](text[:cut], key)) is not None:
+            return new + pseudonymise(text[cut:], key, {})[0]
+    return None
+
+
 def pseudonymise(text: str | None, key: bytes, seen: dict) -> tuple[str | None, list[str]]:
     """The text with every valid value replaced, and the kinds of those values in order."""
     if not text or not MAY_HOLD.search(text):
@@ -224,7 +237,7 @@ def pseudonymise(text: str | None, key: bytes, seen: dict) -> tuple[str | None,
         if found not in seen:
             if len(seen) > 100_000:
                 seen.clear()
-            seen[found] = FORMATS[m.lastgroup][0](m[0], key)
+            seen[found] = replaced(m.lastgroup, m[0], key)
         new = seen[found]
         if new is None:
             return m[0]

@@ -222,6 +222,8 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radi
     named = labels.join(points, labels["node"] == points["fp"]).select("root", "fp", "rep")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_point = settle(points.join(named.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    discard(labels)
+    discard(points)
     return prints.join(of_point, "fp").select("doc_id", "fp", "component_id")
 
 

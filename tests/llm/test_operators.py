@@ -222,6 +222,12 @@ def test_pseudonyms_keep_the_format_and_link(text, kind, layout):
     assert pii.pseudonymise(f"see {text}, or {text}.", b"other", {})[0] != out
 
 
+@pytest.mark.parametrize("text, value", [("4111111111111111 12 apples", "4111111111111111"), ("GB82WEST12345698765432 ABCD", "GB82WEST12345698765432"), ("+1 (988) 555-2485 4111111111111111", "4111111111111111"), ("+44 20 7946 0958 12345678 12", "7946 0958")])
+def test_values_beside_other_numbers(text, value):
+    out, kinds = pii.pseudonymise(text, b"key", {})
+    assert kinds and value not in out and len(out) == len(text)
+
+
 def test_clean_text_is_left_alone():
     for t in ("4111 1111 1111 1112", "999.1.1.1", "2024-02-30", "page 12 of 300", "3.14159", "v1.2.3", "1234567", "000-12-3456", "a @ b", "", None):
         assert pii.pseudonymise(t, b"k", {}) == (t, [])
