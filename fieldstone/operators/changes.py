@@ -6,7 +6,9 @@ Per id a delete wins over an insert, an insert over an update, and of equal kind
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +38,19 @@ class DuplicateIdError(Exception):
 @dataclass(frozen=True)
 class ChangeSet:
     """One row per id: ids to delete, rows to insert, rows to update (with ``changed``, the names of the
-    changed columns, if the update is partial)."""
+    changed columns, if the update is partial); None where nothing is staged."""
 
-    deletes: DataFrame
-    inserts: DataFrame
-    updates: DataFrame
+    deletes: DataFrame | None
+    inserts: DataFrame | None
+    updates: DataFrame | None
+
+    def each(self, step: Callable[[DataFrame], DataFrame]) -> ChangeSet:
+        """The change set with ``step`` done to what is there."""
+        return ChangeSet(*(None if d is None else step(d) for d in (self.deletes, self.inserts, self.updates)))
+
+    def ids(self, key: str) -> DataFrame:
+        """All ids that it touches."""
+        return reduce(DataFrame.union, [d.select(key) for d in (self.deletes, self.inserts, self.updates) if d is not None])
 
 
 def last_wins(staged: DataFrame, key: str, seq: str = SEQ) -> DataFrame:
@@ -51,11 +61,17 @@ def last_wins(staged: DataFrame, key: str, seq: str = SEQ) -> DataFrame:
     return latest.select(*[F.col("__row").getField(c).alias(c) for c in kept])
 
 
-def resolve(deletes: DataFrame, inserts: DataFrame, updates: DataFrame, key: str, seq: str = SEQ) -> ChangeSet:
+def resolve(deletes: DataFrame | None, inserts: DataFrame | None, updates: DataFrame | None, key: str, seq: str = SEQ) -> ChangeSet:
     """Applies the precedence.  ``deletes`` has the column ``key``; the others have ``seq`` too."""
-    gone = deletes.select(key).distinct()
-    added = last_wins(inserts, key, seq).join(gone, key, "left_anti")
-    changed = last_wins(updates, key, seq).join(gone, key, "left_anti").join(added.select(key), key, "left_anti")
+
+    def without(rows: DataFrame, *stronger: DataFrame | None) -> DataFrame:
+        for s in stronger:
+            rows = rows if s is None else rows.join(s.select(key), key, "left_anti")
+        return rows
+
+    gone = None if deletes is None else deletes.select(key).distinct()
+    added = None if inserts is None else without(last_wins(inserts, key, seq), gone)
+    changed = None if updates is None else without(last_wins(updates, key, seq), gone, added)
     return ChangeSet(gone, added, changed)
 
 
@@ -87,15 +103,21 @@ def _updated(base: DataFrame, updates: DataFrame, key: str, version: str | None)
 def apply(base: DataFrame, changes: ChangeSet, key: str, version: str | None = None, strict_insert: bool = False) -> DataFrame:
     """The table after the change set.  With a version column the updates must have been checked with
     ``conflicts``; without one an update of an unknown id inserts its row."""
-    if strict_insert:
-        twice = changes.inserts.join(base.select(key), key, "left_semi")
+    deletes, inserts, updates = changes.deletes, changes.inserts, changes.updates
+    if strict_insert and inserts is not None:
+        twice = inserts.join(base.select(key), key, "left_semi")
         if not twice.isEmpty():
             raise DuplicateIdError(f"ids are already there: {[r[0] for r in twice.select(key).limit(10).collect()]}")
-    out_of = changes.deletes.select(key).union(changes.inserts.select(key))
-    kept = base.join(out_of, key, "left_anti").select(*base.columns)
-    out = _updated(kept, changes.updates, key, version).unionByName(changes.inserts.select(*base.columns))
-    if version is None:
-        new = changes.updates.join(base.select(key), key, "left_anti")
+    out = base
+    replaced = [d.select(key) for d in (deletes, inserts) if d is not None]
+    if replaced:
+        out = out.join(reduce(DataFrame.union, replaced), key, "left_anti").select(*base.columns)
+    if updates is not None:
+        out = _updated(out, updates, key, version)
+    if inserts is not None:
+        out = out.unionByName(inserts.select(*base.columns))
+    if updates is not None and version is None:
+        new = updates.join(base.select(key), key, "left_anti")
         out = out.unionByName(new.select(*base.columns))
     return out
 

@@ -9,7 +9,6 @@ snapshot.  Bulk work is staged as DataFrames and never passes through the driver
 from __future__ import annotations
 
 import copy
-import tempfile
 from collections.abc import Iterable
 from functools import reduce
 from typing import Any
@@ -71,14 +70,6 @@ def _canonical(value: Any) -> Any:
     return value
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder, so that made ids stay the same and later steps recompute nothing."""
-    sc = rows.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldstone-"))
-    return rows.checkpoint()
-
-
 class Session:
     """Use as a context manager: leaving without ``save`` discards."""
 
@@ -242,21 +233,20 @@ class Session:
         model, s = self._model(name), self._staged[name]
         seq = T.StructField(ch.SEQ, T.IntegerType())
         names = model.schema.names
-        empty = self._local([], model, [seq])
-        added = [self._local([(*(e.get(c) for c in names), n) for n, e in s.added.values()], model, [seq])] if s.added else []
-        inserts = reduce(DataFrame.unionByName, [*s.inserts, *added], empty)
+        inserts, updates, deletes = list(s.inserts), [], list(s.deletes)
+        if s.added:
+            inserts.append(self._local([(*(e.get(c) for c in names), n) for n, e in s.added.values()], model, [seq]))
         # Entities' edits come after all bulk updates; they send their changed fields only.
-        partial = T.StructField("changed", T.ArrayType(T.StringType()))
         whole = [f for f in names if f != model.id]
-        bulk = [u.withColumn("changed", F.array(*map(F.lit, whole))) for u in s.updates]
+        updates = [u.withColumn("changed", F.array(*map(F.lit, whole))) for u in s.updates]
         dirty = s.dirty()
         if dirty:
-            bulk.append(self._local([(*(e.get(c) for c in names), self._seq + 1, list(dict.fromkeys(c for c in changed))) for e, changed in dirty.values()], model, [seq, partial]))
-        updates = reduce(DataFrame.unionByName, bulk, self._local([], model, [seq, partial]))
-        key_only = T.StructType([T.StructField(model.id, model.schema[model.id].dataType)])
-        removed = self.spark.createDataFrame([(k,) for k in s.removed], key_only)
-        deletes = reduce(DataFrame.unionByName, s.deletes, removed)
-        return ch.resolve(deletes, inserts, updates, model.id)
+            partial = T.StructField("changed", T.ArrayType(T.StringType()))
+            updates.append(self._local([(*(e.get(c) for c in names), self._seq + 1, changed) for e, changed in dirty.values()], model, [seq, partial]))
+        if s.removed:
+            deletes.append(self.spark.createDataFrame([(k,) for k in s.removed], T.StructType([T.StructField(model.id, model.schema[model.id].dataType)])))
+        merged = (reduce(DataFrame.unionByName, parts) if parts else None for parts in (deletes, inserts, updates))
+        return ch.resolve(*merged, model.id)
 
     def _view(self, name: str) -> DataFrame:
         model = self._model(name)
@@ -277,19 +267,18 @@ class Session:
         touched = [n for n, s in self._staged.items() if s.touched()]
         if not touched:
             return self.commit
-        manifest, staged = self.store.manifest(now), {}
+        manifest, staged, parked = self.store.manifest(now), {}, []
         try:
             for name in touched:
                 model, changes, entry = self.models[name], self._changes(name), manifest.get(name)
-                changes = ch.ChangeSet(*(settled(d) for d in (changes.deletes, changes.inserts, changes.updates)))
+                changes = changes.each(lambda d: self.store.park(d, parked))  # made ids stay; nothing is computed twice
                 shards = None
                 base = self.spark.createDataFrame([], model.schema)
                 if entry:
-                    ids = changes.deletes.select(model.id).union(changes.inserts.select(model.id)).union(changes.updates.select(model.id))
-                    shards = [r[0] for r in ids.select(self.store.shard(F.col(model.id), entry["shards"])).distinct().collect()]
+                    shards = [r[0] for r in changes.ids(model.id).select(self.store.shard(F.col(model.id), entry["shards"])).distinct().collect()]
                     base = self.store.rows(entry, shards)
                 version = model.version if self.conventions.version_attribute else None
-                if version:
+                if version and changes.updates is not None:
                     failed = ch.conflicts(base, changes.updates, model.id, version)
                     if not failed.isEmpty():
                         raise ch.ConcurrencyError(failed, model.id)
@@ -304,6 +293,8 @@ class Session:
         except Exception:
             self.store.discard(staged)
             raise
+        finally:
+            self.store.unpark(parked)
         done = self.store.publish(staged, now) if staged else now
         self._accept(done)
         return done

@@ -128,6 +128,16 @@ class Store:
         for entry in staged.values():
             self._fs().delete(self._path(entry["new"]), True)
 
+    def park(self, rows: DataFrame, parked: list[str]) -> DataFrame:
+        """Rows written beside the tables for the time of a save; the folder is noted in ``parked``."""
+        parked.append(f"_parked/{uuid.uuid4().hex}")
+        rows.write.parquet(f"{self.root}/{parked[-1]}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{parked[-1]}")
+
+    def unpark(self, parked: list[str]) -> None:
+        for folder in parked:
+            self._fs().delete(self._path(folder), True)
+
     def vacuum(self, keep: int = 1) -> int:
         """Removes folders that none of the last ``keep`` commits names; returns how many."""
         fs, last = self._fs(), self.latest()
