@@ -24,22 +24,22 @@ def rows_of(df):
 
 
 def test_include_scalar_array_and_missing(spark):
-    customers = spark.createDataFrame([("c1", "Raven"), ("c2", "Crow")], "Id string, Name string")
+    customers = spark.createDataFrame([("c1", "Robin"), ("c2", "Crow")], "Id string, Name string")
     orders = spark.createDataFrame([("o1", "c1", ["c2", "c1", "c2"]), ("o2", "zz", []), ("o3", None, None)], "Id string, CustomerId string, CustomerIds array<string>")
     one = {r.Id: [x.Name for x in r._included_CustomerId] for r in include(orders, "CustomerId", customers, "Id").collect()}
-    assert one == {"o1": ["Raven"], "o2": [], "o3": []}
+    assert one == {"o1": ["Robin"], "o2": [], "o3": []}
     many = {r.Id: [x.Name for x in r._included_CustomerIds] for r in include(orders, "CustomerIds", customers, "Id", "Id").collect()}
-    assert many == {"o1": ["Raven", "Crow"], "o2": [], "o3": []}
-    assert rows_of(included_rows(orders, "CustomerId", customers, "Id")) == [("c1", "Raven")]
+    assert many == {"o1": ["Robin", "Crow"], "o2": [], "o3": []}
+    assert rows_of(included_rows(orders, "CustomerId", customers, "Id")) == [("c1", "Robin")]
 
 
 def test_context_query_with_includes(spark):
     ctx = Context(spark)
-    ctx.from_rows(Model("customers", spark.createDataFrame([], "Id string, Name string").schema), [("c1", "Raven")])
+    ctx.from_rows(Model("customers", spark.createDataFrame([], "Id string, Name string").schema), [("c1", "Robin")])
     ctx.from_rows(Model("orders", spark.createDataFrame([], "Id string, CustomerId string").schema, references={"CustomerId": "customers"}), [("o1", "c1"), ("o2", None)])
     q = ctx.query("orders", {"Id": "o1"}).include("CustomerId")
-    assert [r._included_CustomerId[0].Name for r in q.rows().collect()] == ["Raven"]
-    assert rows_of(q.roots()) == [("o1", "c1")] and rows_of(q.included("CustomerId")) == [("c1", "Raven")]
+    assert [r._included_CustomerId[0].Name for r in q.rows().collect()] == ["Robin"]
+    assert rows_of(q.roots()) == [("o1", "c1")] and rows_of(q.included("CustomerId")) == [("c1", "Robin")]
     with pytest.raises(ValueError):
         ctx.query("nothing")
     with pytest.raises(ValueError):
