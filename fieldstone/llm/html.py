@@ -145,7 +145,7 @@ def features(page: Page) -> np.ndarray:
     own = [0] * n
     for node, text, in_link in page.text:
         if node >= 0:
-            size = len(text) - text.count(" ") // 2 if not text.isspace() else 0
+            size = 0 if text.isspace() else len(text)
             chars[node] += size
             own[node] += size
             if in_link:
