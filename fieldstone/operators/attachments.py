@@ -39,9 +39,9 @@ def chunks_of(blobs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The chunks table of the same blobs."""
     file_id = F.sha2(file_name(F.col("entity_id"), F.col("name")).cast("binary"), 256)
     n = F.ceil(F.length("data") / chunk).cast("int")
-    numbered = blobs.filter(F.length("data") > 0).select(file_id.alias("files_id"), "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("n"))
-    part = F.substring(F.col("data"), F.col("n") * chunk + 1, F.lit(chunk))
-    return numbered.select(F.concat_ws("/", "files_id", F.col("n").cast("string")).alias("_id"), "files_id", "n", part.alias("data"))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("data"), i * chunk + 1, F.lit(chunk)))
+    numbered = blobs.filter(F.length("data") > 0).select(file_id.alias("files_id"), F.posexplode(parts).alias("n", "data"))
+    return numbered.select(F.concat_ws("/", "files_id", F.col("n").cast("string")).alias("_id"), "files_id", "n", "data")
 
 
 def stored(files: DataFrame, chunks: DataFrame, blobs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,8 @@ change of a large table rewrites a small part of it, and a load by id reads one
 file then names the current folder of every shard of every table.  The file's number is one above the commit that
 was read, and it is created only if no file of that number exists, so of two writers from the same base
 one fails and nothing it wrote becomes visible.  Readers pin the commit they opened.  All access goes
-through Spark's file system, so the root may be in any store that Spark reads.
+through Spark's file system, so the root may be in any store that Spark writes and whose rename is atomic
+and fails if the target exists.
 """
 
 from __future__ import annotations
