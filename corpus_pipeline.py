@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldstone.llm import decontam, langid, pieces, pii, simhash
+from fieldstone.llm import decontam, langid, overlap, pieces, pii, simhash
 from fieldstone.llm.common import id_remainder, settle, table
 from fieldstone.llm.queries import model_path
 
@@ -20,8 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every component of near copies."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest id of every component of near copies: fingerprints within
+    the radius, or five-word shingles of a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one(docs, more=overlap.links)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

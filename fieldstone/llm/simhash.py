@@ -212,13 +212,19 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select("root", "root").distinct())
 
 
-def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (long), component_id, the smallest doc_id reachable."""
-    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "simhash")
+def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, more=None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (long), component_id, the smallest doc_id reachable.
+    ``more``, such as ``overlap.links``, adds links: from texts, their fingerprints and the links found so far."""
+    found = [F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")]
+    prints = settle(docs.select(*found, *([F.xxhash64(text).alias("k")] if more else [])), "simhash")
     points = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
     shared = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
     same = prints.join(shared, "doc_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    labels = settle(connected(links(points.select("fp"), radius).union(same)), "labels")
+    edges = links(points.select("fp"), radius).union(same)
+    if more:
+        nodes = prints.groupBy("k").agg(F.min("fp").alias("node"))
+        edges = more(docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text")), nodes, edges)
+    labels = settle(connected(edges), "labels")
     named = labels.join(points, labels["node"] == points["fp"]).select("root", "fp", "rep")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_point = settle(points.join(named.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "components")
@@ -227,10 +233,10 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radi
     return prints.join(of_point, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, more=None) -> DataFrame:
     """One document of each component, the one with the smallest id, with the columns of ``docs``.
     Of rows that share this id the one with the smallest text hash stays; rows without id stay."""
-    found = settle(components(docs, text, doc_id, radius), "found")
+    found = settle(components(docs, text, doc_id, radius, more), "found")
     key = fresh(docs, "dropped")
     extra = settle(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "dropped")
     kept = docs.join(extra, docs[doc_id] == extra[key], "left_anti")
