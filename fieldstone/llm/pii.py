@@ -210,41 +210,54 @@ FORMATS = {
     "phone": (phone, r"(?<!\w)\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
 }
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (_, p) in FORMATS.items()))
+# The same at a place that is known to follow a separator.
+LATER = re.compile(re.sub(r"\(\?<!(?:\\w|\[[^\]]*\])\)", "", ANY.pattern))
 MAY_HOLD = re.compile(r"[0-9@=]|(?i:password|passwd|pwd|secret|token)\s*:")
 
 
-def replaced(kind: str, text: str, key: bytes) -> str | None:
-    """A valid value's pseudonym.  Where the pattern took in following groups that don't belong to the
-    value, the longest valid head is replaced and the rest is searched by itself."""
+def replaced(kind: str, text: str, key: bytes) -> tuple[str, str, int] | None:
+    """(kind, pseudonym, length) of a valid value that the match starts with.  Where the pattern took in
+    following groups that don't belong to the value, it is the longest valid head."""
     new = FORMATS[kind][0](text, key)
     if new is not None:
-        return new
+        return kind, new, len(text)
     for cut in (i for i in range(len(text) - 1, 0, -1) if text[i] in " -"):
         head = ANY.fullmatch(text, 0, cut)
         if head and (new := FORMATS[head.lastgroup][0](text[:cut], key)) is not None:
-            return new + pseudonymise(text[cut:], key, {})[0]
+            return head.lastgroup, new, cut
     return None
 
 
 def pseudonymise(text: str | None, key: bytes, seen: dict) -> tuple[str | None, list[str]]:
-    """The text with every valid value replaced, and the kinds of those values in order."""
+    """The text with every valid value replaced, and the kinds of those values in order.  Where a match
+    has no valid head, a value may start after any of its separators."""
     if not text or not MAY_HOLD.search(text):
         return text, []
     kinds: list[str] = []
+    out: list[str] = []
+    done = at = 0
 
-    def swap(m: re.Match) -> str:
+    def value(m: re.Match) -> tuple[str, str, int] | None:
         found = (m.lastgroup, m[0])
         if found not in seen:
             if len(seen) > 100_000:
                 seen.clear()
             seen[found] = replaced(m.lastgroup, m[0], key)
-        new = seen[found]
-        if new is None:
-            return m[0]
-        kinds.append(m.lastgroup)
-        return new
-
-    return ANY.sub(swap, text), kinds
+        return seen[found]
+
+    while m := ANY.search(text, at):
+        start, at, hit = m.start(), m.end(), value(m)
+        if hit is None:
+            for i in range(start + 1, at - 1):
+                if text[i] in " -" and (later := LATER.match(text, i + 1)) and (hit := value(later)) is not None:
+                    start = i + 1
+                    break
+        if hit is not None:
+            kind, new, length = hit
+            kinds.append(kind)
+            out += text[done:start], new
+            done = at = start + length
+    return "".join(out) + text[done:], kinds
 
 
 def masked(text: Column, key: bytes = DEFAULT_KEY) -> Column:
