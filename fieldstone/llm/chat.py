@@ -2,9 +2,10 @@
 
 Chat data comes in many layouts: rows by turn, arrays of messages under various names, instruction and
 output columns, prompt and completion pairs, or JSON text of any of these.  The nested field paths of
-a layout (names and kinds, sorted) are hashed; the hash selects a declarative mapping (``MAPPINGS``) that
-turns rows of that layout into canonical turns: an array of (role, text).  For JSON text every record is
-fingerprinted by itself, so one column may mix layouts.
+a layout (from the root, names and kinds, sorted) are hashed; the hash selects a declarative mapping
+(``MAPPINGS``) that turns rows of that layout into canonical turns: an array of (role, text).  Paths that no layout
+names, such as ids and metadata, are left out before hashing.  For JSON text every record is fingerprinted by
+itself, so one column may mix layouts; ``layouts_of`` counts the records of each, also of none.
 
 The template is, per turn, ``<|im_start|>role\\n``, the text, ``<|im_end|>\\n``.  Control strings inside
 texts are escaped reversibly: one backslash is put after the ``<`` of every ``<``, backslashes, ``|``;
@@ -13,19 +14,24 @@ else than letters, digits and ``.-_*``.  The formatted conversation is kept as s
 mask or not: the texts of assistant turns are, everything else is not.
 
 Defined results: a null text is empty, a null role is the empty role; turns with equal numbers are
-ordered by role and text; a null conversation id is a conversation; an empty table gives none; a
-record whose fingerprint no mapping has gets null turns; columns that the mapping doesn't name are ignored, unless
-they change the fingerprint: ``turns_of`` looks up the named columns only, ``select`` them first.
+ordered by role and text, repeated turns stay; a null conversation id is a conversation; an empty table gives
+none; very long texts are formatted whole.  Roles of rows by turn are kept as they are; in the other layouts
+the names in ``ROLES`` are replaced.  An empty array of messages is a conversation without turns.  A JSON
+record whose fingerprint no mapping has gets null turns; a table of that kind is refused.  Other columns are
+ignored, unless one has the path of another layout, which makes the fingerprint another one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sketch import let
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 # Other names of the canonical roles.
@@ -52,25 +58,34 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-# Layout name -> (field paths, where the turns are).  A mapping is data only:
+# Layout name -> (required paths, optional paths, where the turns are).  A mapping is data only:
 #   rows:   conversation, order, role and text columns of one turn a row
-#   list:   array column with the names of its role and text fields
-#   fixed:  (role, template) pairs; {name} takes that field, and a pair whose fields are all empty is left out
+#   list:   array column with the names of its role and text fields; the text may be a list of parts with a ``text``
+#   fixed:  (role, fields) pairs; a pair whose fields are all empty is left out unless it is the assistant's
 LAYOUTS = {
-    "turn rows": (["conv_id:number", "turn:number", "role:string", "text:string"], {"rows": ("conv_id", "turn", "role", "text")}),
-    "messages": (["messages[].role:string", "messages[].content:string"], {"list": ("messages", "role", "content")}),
-    "message texts": (["messages[].role:string", "messages[].text:string"], {"list": ("messages", "role", "text")}),
-    "conversations": (["conversations[].from:string", "conversations[].value:string"], {"list": ("conversations", "from", "value")}),
-    "dialog": (["dialog[].speaker:string", "dialog[].text:string"], {"list": ("dialog", "speaker", "text")}),
-    "instruction": (["instruction:string", "input:string", "output:string"], {"fixed": (("user", ("instruction", "input")), ("assistant", ("output",)))}),
-    "instruction only": (["instruction:string", "output:string"], {"fixed": (("user", ("instruction",)), ("assistant", ("output",)))}),
-    "system instruction": (["system:string", "instruction:string", "output:string"], {"fixed": (("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))}),
-    "prompt": (["prompt:string", "completion:string"], {"fixed": (("user", ("prompt",)), ("assistant", ("completion",)))}),
-    "prompt response": (["prompt:string", "response:string"], {"fixed": (("user", ("prompt",)), ("assistant", ("response",)))}),
-    "question": (["question:string", "answer:string"], {"fixed": (("user", ("question",)), ("assistant", ("answer",)))}),
-    "system question": (["system_prompt:string", "question:string", "response:string"], {"fixed": (("system", ("system_prompt",)), ("user", ("question",)), ("assistant", ("response",)))}),
+    "turn rows": (["conv_id:number", "turn:number", "role:string", "text:string"], [], {"rows": ("conv_id", "turn", "role", "text")}),
+    "messages": (["messages[].role:string", "messages[].content:string"], [], {"list": ("messages", "role", "content")}),
+    "message parts": (["messages[].role:string", "messages[].content[].text:string"], ["messages[].content[].type:string"], {"list": ("messages", "role", "content")}),
+    "message texts or parts": (["messages[].role:string", "messages[].content:variant"], [], {"list": ("messages", "role", "content")}),
+    "message texts": (["messages[].role:string", "messages[].text:string"], [], {"list": ("messages", "role", "text")}),
+    "no messages": (["messages[]:empty"], [], {"list": ("messages", "role", "content")}),
+    "conversations": (["conversations[].from:string", "conversations[].value:string"], [], {"list": ("conversations", "from", "value")}),
+    "no conversations": (["conversations[]:empty"], [], {"list": ("conversations", "from", "value")}),
+    "dialog": (["dialog[].speaker:string", "dialog[].text:string"], [], {"list": ("dialog", "speaker", "text")}),
+    "no dialog": (["dialog[]:empty"], [], {"list": ("dialog", "speaker", "text")}),
+    "instruction": (["instruction:string", "output:string"], ["input:string", "system:string"], {"fixed": (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))}),
+    "prompt": (["prompt:string", "completion:string"], ["system:string"], {"fixed": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))}),
+    "prompt response": (["prompt:string", "response:string"], ["system:string"], {"fixed": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))}),
+    "question": (["question:string", "answer:string"], ["system:string"], {"fixed": (("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",)))}),
+    "system question": (["question:string", "response:string"], ["system_prompt:string"], {"fixed": (("system", ("system_prompt",)), ("user", ("question",)), ("assistant", ("response",)))}),
+}
+KNOWN = sorted({p for required, optional, _ in LAYOUTS.values() for p in (*required, *optional)})
+MAPPINGS = {
+    fingerprint([*required, *some]): (name, mapping)
+    for name, (required, optional, mapping) in LAYOUTS.items()
+    for n in range(len(optional) + 1)
+    for some in combinations(optional, n)
 }
-MAPPINGS = {fingerprint(paths): (name, mapping) for name, (paths, mapping) in LAYOUTS.items()}
 
 
 def canonical_role(role: Column) -> Column:
@@ -80,7 +95,7 @@ def canonical_role(role: Column) -> Column:
 
 
 def _turn(role: Column, text: Column) -> Column:
-    return F.struct(canonical_role(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _fixed(pairs, get) -> Column:
@@ -92,73 +107,111 @@ def _fixed(pairs, get) -> Column:
     return F.filter(F.array(*made), lambda t: (t["role"] == "assistant") | (t["text"] != ""))
 
 
+def _texts(content: Column, of: T.DataType) -> Column:
+    """A message's text: itself, or the texts of its parts, nothing between."""
+    return F.array_join(F.transform(content, lambda p: p["text"]), "") if isinstance(of, T.ArrayType) else content
+
+
 def turns_of(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Canonical turns of a table in any known layout, chosen by the fingerprint of its schema: the
     columns ``keep`` (for rows by turn: the conversation's id) and ``turns``."""
     keep = keep or []
     body = records.drop(*keep) if keep else records
-    found = MAPPINGS.get(fingerprint(field_paths(body.schema)))
+    found = MAPPINGS.get(fingerprint([p for p in field_paths(body.schema) if p in KNOWN]))
     if found is None:
         raise ValueError(f"no mapping has the fields {field_paths(body.schema)}")
     name, mapping = found
     if "rows" in mapping:
         conv, order, role, text = mapping["rows"]
-        one = F.struct(F.col(order).alias("turn"), canonical_role(F.col(role)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        given = lambda c: F.coalesce(F.col(c), F.lit(""))
+        one = F.struct(F.col(order).alias("turn"), given(role).alias("role"), given(text).alias("text"))
         grouped = records.groupBy(conv).agg(F.sort_array(F.collect_list(one)).alias("turns"))
         return grouped.select(conv, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     if "list" in mapping:
         column, role, text = mapping["list"]
-        made = F.transform(F.col(column), lambda m: _turn(m[role], m[text]))
+        of = records.schema[column].dataType.elementType
+        made = F.transform(F.col(column), lambda m: _turn(canonical_role(m[role]), _texts(m[text], of[text].dataType)))
         return records.select(*keep, F.coalesce(made, F.array().cast(TURNS)).alias("turns"))
-    return records.select(*keep, _fixed(mapping["fixed"], F.col).alias("turns"))
+    there = set(body.columns)
+    return records.select(*keep, _fixed(mapping["fixed"], lambda n: F.col(n) if n in there else F.lit("")).alias("turns"))
 
 
-def _ddl(paths: list[str]) -> str:
-    """The schema with these paths (at most one level of arrays)."""
-    top: dict[str, list[str]] = {}
-    for p in paths:
-        name, _, rest = p.rpartition(":")[0].partition("[].")
-        top.setdefault(name, []).extend([rest] if rest else [])
-    return ", ".join(f"`{n}` " + (f"array<struct<{','.join(f'`{x}`:string' for x in inner)}>>" if inner else "string") for n, inner in top.items())
+# What a variant's shape is made of: a name and its colon, the start of an object or array, an end, a type.
+_SHAPE = r"(?:`(?:[^`]|``)*`|[^<>,:` ]+): |OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9,]+\))?"
 
 
-def json_fingerprint(text: Column) -> Column:
-    """The fingerprint of one JSON record's nested field paths, as ``fingerprint`` gives it."""
-    shape = F.schema_of_variant(F.try_parse_json(text))
-    inner = F.regexp_replace(F.regexp_replace(shape, r"OBJECT<", "<"), " ", "")
-    top = F.regexp_extract_all(F.regexp_replace(inner, r"^<|>$", ""), F.lit(r"([^,:<>]+:(?:ARRAY<<[^<>]*>>|[^,<>]+))"), 1)
+def json_paths(record: Column) -> Column:
+    """A variant's nested field paths, from the root, as ``field_paths`` gives those of a schema; the items of an
+    empty array and of an array of nulls have the kind ``empty``."""
+    parts = F.regexp_extract_all(F.schema_of_variant(record), F.lit(f"({_SHAPE})"), 1)
+    state = F.struct(F.array(F.lit("")).alias("up"), F.lit("").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def kind_of(x: Column) -> Column:
-        return F.when(x.isin("STRING", "VOID"), "string").when(x.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").otherwise(F.lower(x))
+    def read(s: Column, part: Column) -> Column:
+        """``up``: the paths of the open objects and arrays, ``at``: of the value that comes next."""
+        up, at, out = s["up"], s["at"], s["out"]
+        inside = F.element_at(up, -1)
+        name = F.regexp_replace(F.regexp_replace(part, ": $", ""), "^`|`$", "")
+        to = lambda up, at, out: F.struct(up.alias("up"), at.alias("at"), out.alias("out"))
+        kind = F.when(part.isin("STRING", "VOID"), F.when((part == "VOID") & at.endswith("[]"), "empty").otherwise("string"))
+        kind = kind.when(part.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").otherwise(F.lower(part))
+        return (
+            F.when(part.endswith(": "), to(up, F.when(inside == "", name).otherwise(F.concat(inside, F.lit("."), name)), out))
+            .when(part == "OBJECT<", to(F.array_append(up, at), at, out))
+            .when(part == "ARRAY<", to(F.array_append(up, F.concat(at, F.lit("[]"))), F.concat(at, F.lit("[]")), out))
+            .when(part == ">", to(F.slice(up, 1, F.size(up) - 1), F.element_at(up, -1), out))
+            .otherwise(to(up, at, F.array_append(out, F.concat(at, F.lit(":"), kind))))
+        )
 
-    def expand(field: Column) -> Column:
-        name, rest = F.substring_index(field, ":", 1), F.regexp_extract(field, r"^[^:]+:(.*)$", 1)
-        items = F.split(F.regexp_extract(rest, r"^ARRAY<<(.*)>>$", 1), ",")
-        nested = F.transform(items, lambda i: F.concat(name, F.lit("[]."), F.substring_index(i, ":", 1), F.lit(":"), kind_of(F.substring_index(i, ":", -1))))
-        return F.when(rest.startswith("ARRAY<<"), nested).otherwise(F.array(F.concat(name, F.lit(":"), kind_of(rest))))
+    return F.aggregate(parts, state, read, lambda s: s["out"])
 
-    return F.substring(F.sha2(F.array_join(F.sort_array(F.flatten(F.transform(top, expand))), "\n").cast("binary"), 256), 1, 16)
+
+def json_fingerprint(record: Column) -> Column:
+    """The fingerprint of a variant's field paths, those that any layout names."""
+    known = F.array_sort(F.array_intersect(json_paths(record), F.array(*map(F.lit, KNOWN))))
+    return F.substring(F.sha2(F.array_join(known, "\n").cast("binary"), 256), 1, 16)
+
+
+def _json_texts(content: Column) -> Column:
+    """A message's text in a variant: itself, or the texts of its parts, nothing between."""
+    parts = F.try_variant_get(content, "$", "array<variant>")
+    joined = F.array_join(F.transform(parts, lambda p: F.try_variant_get(p, "$.text", "string")), "")
+    return F.when(F.schema_of_variant(content).startswith("ARRAY"), joined).otherwise(F.try_variant_get(content, "$", "string"))
 
 
 def json_turns(text: Column) -> Column:
     """Canonical turns of a JSON record, by the mapping that its own fingerprint selects."""
-    mark = json_fingerprint(text)
-    out = F.lit(None).cast(TURNS)
-    for key, (name, mapping) in MAPPINGS.items():
-        if "rows" in mapping:
-            continue
-        record = F.from_json(text, _ddl(LAYOUTS[name][0]))
-        if "list" in mapping:
-            column, role, body = mapping["list"]
-            made = F.transform(record[column], _reader(role, body))
-        else:
-            made = _fixed(mapping["fixed"], lambda n, r=record: r[n])
-        out = F.when(mark == key, made).otherwise(out)
-    return out
-
-
-def _reader(role: str, text: str):
-    return lambda m: _turn(m[role], m[text])
+
+    def of(record: Column) -> Column:
+        def selected(mark: Column) -> Column:
+            out = F.lit(None).cast(TURNS)
+            for name, (_, _, mapping) in LAYOUTS.items():
+                keys = [k for k, (n, _) in MAPPINGS.items() if n == name]
+                if "list" in mapping:
+                    out = F.when(mark.isin(keys), _json_list(record, *mapping["list"])).otherwise(out)
+                elif "fixed" in mapping:
+                    out = F.when(mark.isin(keys), _fixed(mapping["fixed"], lambda n: F.try_variant_get(record, f"$.{n}", "string"))).otherwise(out)
+            return out
+
+        return let(json_fingerprint(record), selected)
+
+    return let(F.try_parse_json(text), of)
+
+
+def _json_list(record: Column, column: str, role: str, text: str) -> Column:
+    items = F.try_variant_get(record, f"$.{column}", "array<variant>")
+    item = lambda m: _turn(canonical_role(F.try_variant_get(m, f"$.{role}", "string")), _json_texts(F.try_variant_get(m, f"$.{text}", "variant")))
+    return F.transform(items, item)
+
+
+def layouts_of(records: DataFrame, text: str) -> DataFrame:
+    """(fingerprint, layout, records): how many JSON records have each fingerprint; the layout is null where no
+    mapping has it, the fingerprint too where the text is no JSON."""
+    marked = records.select(let(F.try_parse_json(F.col(text)), lambda r: F.when(r.isNotNull(), json_fingerprint(r))).alias("fingerprint"))
+    name = F.lit(None).cast("string")
+    for key, (layout, mapping) in MAPPINGS.items():
+        if "rows" not in mapping:
+            name = F.when(F.col("fingerprint") == key, layout).otherwise(name)
+    return marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("records")).select("fingerprint", name.alias("layout"), "records")
 
 
 def escape(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +22,16 @@ def id_remainder(n: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bounds the rows of an Arrow batch of this session: texts are long, and a worker holds a batch
-    several times over.  A smaller bound that is already set stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+SLICE = 256
+
+
+def in_slices(batches: Iterator, rows: int = SLICE) -> Iterator:
+    """The values of Arrow arrays (or tuples of them) as lists of at most ``rows``.  A batch may hold many
+    MB of texts, of which a task turns only a part at a time into Python objects."""
+    for batch in batches:
+        many = isinstance(batch, tuple)
+        for at in range(0, len(batch[0] if many else batch), rows):
+            yield tuple(a.slice(at, rows).to_pylist() for a in batch) if many else batch.slice(at, rows).to_pylist()
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -39,20 +44,33 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where none is configured."""
+    """The folder that all executors share.  Where none is configured a temporary one is set for local
+    masters, and others are refused: executors would not see one another's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="fieldstone-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def _place(spark: SparkSession, path: str):
+    """The path and its file system."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` under the shared folder and reads it back: cuts the lineage, survives lost
-    executors, and gives the planner the true size, so that it broadcasts only what is small."""
+    executors, and gives the planner the true size, so that it broadcasts only what is small.  The table
+    goes with ``discard``, or else, also after a failure, when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldstone-{name}-{uuid.uuid4().hex}"
+    at, fs = _place(spark, path)
+    fs.deleteOnExit(at)
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
@@ -60,29 +78,31 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Removes a settled table that no later plan reads."""
-    path = getattr(df, "_settled_at", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*frames: DataFrame) -> None:
+    """Removes settled tables that no later plan reads."""
+    for df in frames:
+        path = getattr(df, "_settled_at", None)
+        if path:
+            at, fs = _place(df.sparkSession, path)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int, strata: str | None = None) -> DataFrame:
+def bounded_sample(rows: DataFrame, key: str, most: int, strata: str | None = None, max_strata: int = 1000) -> DataFrame:
     """At most about ``most`` rows (per stratum), chosen by a hash of ``key``: the same rows on
-    every run, without sorting or collecting the table.  At most 1,000 strata are sampled."""
+    every run, without sorting or collecting the table; of more than twice as many, which only rows of
+    one key can bring about, any.  Of more than ``max_strata`` strata the largest are sampled, of
+    equally large ones the first by value."""
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20))
     if strata is None:
         n = rows.count()
         return rows.filter(draw < _rate(n, most)).limit(2 * most)
-    counts = rows.groupBy(strata).count().limit(1000).collect()
-    if not counts:
-        return rows.limit(0)
-    keep = F.lit(False)
-    for value, n in counts:
-        keep = keep | (F.col(strata).eqNullSafe(F.lit(value)) & (draw < _rate(n, most)))
-    return rows.filter(keep).limit(2 * most * len(counts))
+    of = F.col(strata)
+    counts = rows.groupBy(of.alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.orderBy(F.desc("__n"), F.asc_nulls_first("__of")).limit(max_strata)
+    rate = F.when(F.col("__n") <= most, F.lit(1 << 20)).otherwise(F.greatest(F.lit(1), F.expr(f"({most} * {1 << 20}L) div __n")))
+    drawn = rows.join(F.broadcast(counts), of.eqNullSafe(F.col("__of"))).filter(draw < rate)  # max_strata rows
+    return drawn.drop("__of", "__n").limit(2 * most * max_strata)
 
 
 def _rate(n: int, most: int) -> int:

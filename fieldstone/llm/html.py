@@ -9,26 +9,31 @@ below ``drop`` there is only ``drop`` and below ``main`` no ``path``, so no ance
 
 Training data are a bounded sample of the pages themselves (``max_pages``): pages whose own markup names the
 article (``article``, ``main``, ``role=main`` and the like), and variants of them in which the article and the
-boilerplate go by other names and comments, side bars, notices, forms and headers are put in.
+boilerplate go by other names, or by none, and comments, side bars, notices, forms and headers are put in.
+
+Reading takes time linear in the page: each character is passed by a bounded number of scans, and open elements are
+found by name.  A tag that the page's end cuts off is dropped; an unclosed head ends at the first block, and
+any other silent element (button, svg, ...) with the element that holds it.
 
 Defined results: null, empty and tagless pages without article text give an empty text; very long pages
-are read whole; repeated rows get equal results; where no page of the sample names its article all
-texts are empty.
+are read whole; repeated rows get equal results; of equally probable labellings one with more article text
+wins; where no page of the sample names its article all texts are empty; other columns play no part.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches
+from .common import bounded_sample, in_slices
 
 # HTML's block elements, elements without content, and elements that never hold prose.
 BLOCKS = frozenset("html body div p article section main header footer nav aside form fieldset figure figcaption h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre address details summary dialog menu center".split())
@@ -44,7 +49,8 @@ GROUP_OF = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 FENCES = frozenset("nav aside header footer form".split())
 DROP, PATH, MAIN = 0, 1, 2
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S)
+# Attributes up to the closing bracket: quotes count right after "=" only, and no place is tried twice.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?]")
@@ -61,77 +67,136 @@ class Page:
     text: list[tuple[int, str, bool]]  # node, text, inside a link; node -1 ends a block
 
 
-def parse(page: str | None) -> Page:
-    """Reads tags into blocks; inline elements are nodes only if their attributes name them."""
-    out = Page(["#page"], [-1], [()], [False], [])
-    source, stack, link, at, muted = page or "", [0], 0, 0, []
-    add = out.text.append
+class Reader:
+    """Builds a page from its tags; ``stack`` holds the open nodes, ``where`` their depths by tag name."""
+
+    def __init__(self):
+        self.page = Page(["#page"], [-1], [()], [False], [])
+        self.stack, self.where, self.blocks = [0], defaultdict(list), [0]
+        self.link = 0
+        self.silent: list[str] = []  # open elements from a silent one on
+        self.within = Counter()  # their names
+
+    def text(self, text: str) -> None:
+        if text and not self.silent:
+            self.page.text.append((self.stack[-1], text, self.link > 0))
+
+    def ends_block(self) -> None:
+        self.page.text.append((-1, "", False))
+
+    def pop(self, depth: int) -> None:
+        """Closes all nodes from that depth on."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.where[self.page.tag[node]].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def unmute(self) -> None:
+        self.silent.clear()
+        self.within.clear()
+
+    def close(self, name: str) -> None:
+        if self.silent:
+            if self.within[name]:
+                while True:
+                    last = self.silent.pop()
+                    self.within[last] -= 1
+                    if last == name:
+                        return
+            if not self.where[name]:
+                return
+            self.unmute()
+        if name == "a":
+            self.link = max(0, self.link - 1)
+        if name in BLOCKS:
+            if self.where[name]:
+                self.pop(self.where[name][-1])
+            self.ends_block()
+            self.link = 0
+        elif self.where[name] and self.where[name][-1] > self.blocks[-1]:
+            self.pop(self.where[name][-1])
+
+    def open(self, name: str, attributes: str) -> None:
+        alone = name in VOID or attributes.endswith("/")
+        block = name in BLOCKS
+        if self.silent == ["head"] and block:
+            self.unmute()
+        if self.silent or name in SILENT:
+            if not alone:
+                self.silent.append(name)
+                self.within[name] += 1
+            return
+        if name in VOID:
+            if name in ("br", "hr"):
+                self.ends_block()
+            return
+        if name == "a":
+            self.link += 1
+        if block:
+            self.ends_block()
+            closes = CLOSES.get(name, ())
+            bound = max((self.where[t][-1] for t in BOUND if self.where[t]), default=0)
+            last = max((self.where[t][-1] for t in closes if self.where[t]), default=0)
+            if last > bound:
+                self.pop(last)
+            elif self.page.tag[self.stack[self.blocks[-1]]] == "p":
+                self.pop(self.blocks[-1])
+        named = tuple(t.lower() for x in ATTRIBUTE.findall(attributes) for v in x[1:] for t in TOKEN.findall(v)) if attributes else ()
+        if (block or named) and not alone:
+            self.where[name].append(len(self.stack))
+            if block:
+                self.blocks.append(len(self.stack))
+            self.page.tag.append(name)
+            self.page.parent.append(self.stack[-1])
+            self.page.tokens.append(named)
+            self.page.inline.append(not block)
+            self.stack.append(len(self.page.tag) - 1)
 
-    def text(upto: int) -> None:
-        if upto > at and not muted:
-            add((stack[-1], source[at:upto], link > 0))
 
-    for m in TAG.finditer(source):
-        if m.start() < at:
-            continue
-        text(m.start())
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            if muted:
-                if name in muted:
-                    del muted[muted.index(name) :]
-            elif name == "a":
-                link = max(0, link - 1)
-            elif name in BLOCKS or any(out.tag[i] == name for i in stack[1:]):
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if out.tag[stack[d]] == name), 0)
-                if depth and (name in BLOCKS or all(out.inline[i] for i in stack[depth:])):
-                    del stack[depth:]
-                if name in BLOCKS:
-                    add((-1, "", False))
-                    link = 0
+def parse(page: str | None) -> Page:
+    """Reads tags into blocks; inline elements are nodes only if their attributes name them."""
+    source, read, at, endless = page or "", Reader(), 0, set()
+    while True:
+        start = source.find("<", at)
+        if start < 0:
+            read.text(source[at:])
+            break
+        following = source[start + 1 : start + 2]
+        if not (following.isascii() and following.isalpha()) and following not in ("/", "!", "?"):
+            read.text(source[at : start + 1])
+            at = start + 1
             continue
-        if name in RAW and not m[3].endswith("/"):
-            close = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(source, at)
-            at = close.end() if close else len(source)
+        read.text(source[at:start])
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            if end < 0:
+                break
+            at = end + 3
             continue
-        if muted or name in SILENT:
-            if name == "body":
-                muted.clear()
-            elif name not in VOID and not m[3].endswith("/") and name in SILENT:
-                muted.append(name)
-                continue
-            elif muted:
-                continue
-        if name in VOID:
-            if name in ("br", "hr"):
-                add((-1, "", False))
+        m = TAG.match(source, start)
+        if m is None:
+            # Not a name behind the bracket: up to the next closing one, as comments are; without one the page is cut off.
+            end = source.find(">", start)
+            if end < 0 or (following not in ("!", "?") and re.match("</?[a-zA-Z]", source[start : start + 3])):
+                break
+            at = end + 1
             continue
-        if name == "a":
-            link += 1
-        block, named = name in BLOCKS, ()
-        if m[3]:
-            named = tuple(t.lower() for x in ATTRIBUTE.findall(m[3]) for v in x[1:] for t in TOKEN.findall(v))
-        if block:
-            add((-1, "", False))
-            ends = CLOSES.get(name)
-            for d in range(len(stack) - 1, 0, -1):
-                tag = out.tag[stack[d]]
-                if tag == "p" or (ends and tag in ends):
-                    del stack[d:]
-                    break
-                if tag in BOUND or (tag in BLOCKS and not ends):
-                    break
-        if (block or named) and not m[3].endswith("/"):
-            out.tag.append(name)
-            out.parent.append(stack[-1])
-            out.tokens.append(named)
-            out.inline.append(not block)
-            stack.append(len(out.tag) - 1)
-    text(len(source))
-    return out
+        at, name = m.end(), m[2].lower()
+        if m[1]:
+            read.close(name)
+        elif name in RAW and not m[3].endswith("/") and name not in endless:
+            close = re.compile(f"</{re.escape(name)}\\b[^>]*+>", re.I).search(source, at)
+            if close:
+                at = close.end()
+            elif name in ("script", "style", "textarea"):
+                break
+            else:
+                endless.add(name)
+                read.open(name, m[3])
+        else:
+            read.open(name, m[3])
+    return read.page
 
 
 N_FEATURES = len(GROUPS) + 27
@@ -197,8 +262,13 @@ def features(page: Page) -> np.ndarray:
 
 
 def teacher(page: Page) -> np.ndarray | None:
-    """States of a page whose markup names its article; None for others."""
+    """States of a page whose markup names its article; None for others.  An article's own header counts as
+    article text if it holds the title."""
     n = len(page.tag)
+    titled = [False] * n
+    for i in range(n):
+        if page.tag[i] in ("h1", "h2") and page.tag[page.parent[i]] == "header":
+            titled[page.parent[i]] = True
     roots = [i for i in range(n) if page.tag[i] == "article"] or [i for i in range(n) if page.tag[i] == "main" or "articlebody" in page.tokens[i] or page.tokens[i] == ("main",)]
     roots = roots or [i for i in range(n) if page.tag[i] in ("div", "section") and any(t in ("content", "entry", "post", "story") for t in page.tokens[i]) and not any(t in BAD for t in page.tokens[i])]
     if not roots:
@@ -206,7 +276,7 @@ def teacher(page: Page) -> np.ndarray | None:
     state = np.zeros(n, np.int64)
     for i in range(1, n):
         up = state[page.parent[i]]
-        fenced = page.tag[i] in FENCES or any(t in BAD for t in page.tokens[i])
+        fenced = (page.tag[i] in FENCES and not titled[i]) or any(t in BAD for t in page.tokens[i])
         if (i in roots or up == MAIN) and not fenced:
             state[i] = MAIN
     for i in range(n - 1, 0, -1):
@@ -216,8 +286,8 @@ def teacher(page: Page) -> np.ndarray | None:
     return state
 
 
-def variant(page: str, donor: str, rng: np.random.Generator) -> str:
-    """The page with its article and boilerplate under other names, and with more boilerplate."""
+def variant(page: str, donor: str, rng: np.random.Generator, headed: bool = True) -> str:
+    """The page with its article and boilerplate under other names, and with more boilerplate; if ``headed``, also a site header."""
     pick = lambda *x: x[int(rng.integers(len(x)))]
     prose = re.findall(r"<p>([^<]{20,400})", donor) or ["Thanks."]
     some = [pick(*prose) for _ in range(3)]
@@ -226,11 +296,18 @@ def variant(page: str, donor: str, rng: np.random.Generator) -> str:
     side = pick(box("aside", "", f"<h3>{some[0][:30]}</h3><p>{some[1][:80]}</p>"), box("div", pick('class="sidebar"', 'id="sidebar"', 'class="related"'), f"<h3>{some[0][:30]}</h3><ul><li><a href='/'>{some[1][:40]}</a></li></ul><p>{some[2][:90]}</p>"))
     notice = box("div", pick('class="cookie-notice"', 'id="notice"', 'class="alert"', 'class="newsletter"'), f"<p>{some[0]}</p><button>OK</button>")
     form = box("form", 'action="/s"', f"<label>{some[1][:20]}</label><input name=q><p>{some[2][:60]}</p>")
+    column = box("div", "", f"<h3>{some[0][:20]}</h3><p>{some[1][:60]}</p><form><input name=q><button>OK</button></form>")
     top = pick(box("header", "", f"<h1>{some[0][:20]}</h1><p>{some[1][:50]}</p>"), box("div", 'id="header"', f"<p>{some[1][:50]}</p>"))
     name = pick("article", "article", "main", 'div class="content"', 'div class="post"', 'div id="main"', 'div class="entry-content"', "div class='story'")
     end = name.split()[0]
     listed = lambda m: pick(m[0], m[0], m[0], f"<ul><li>{m[1]}</li><li>{some[2][:60]}</li></ul>", f"<blockquote><p>{m[1]}</p></blockquote>", f"<h2>{m[1][:40]}</h2><p>{m[1]}</p>", f"<div class='text'><p>{m[1]}</p></div>", f"<table><tr><td>{m[1][:50]}</td></tr></table>")
-    page = re.sub(r"<p>([^<]+)</p>", listed, page)
+    page = re.sub(r"<p>([^<]+)</p>", listed if rng.random() < 0.85 else r"<span class='lead'>\1</span><br><br>" if rng.random() < 0.3 else r"\1<br><br>", page)
+    if rng.random() < 0.4:  # a short title
+        page = re.sub(r"(<h1[^>]*>)([^<]+)", lambda m: m[1] + " ".join(m[2].split()[: pick(1, 2, 4)]), page)
+    if rng.random() < 0.15:  # a short article
+        page = re.sub(r"(<article[^>]*>.*?<p>.*?</p>).*?</article>", r"\1</article>", page, count=1, flags=re.S)
+    if rng.random() < 0.3:
+        page = re.sub(r"(<article[^>]*>)\s*(<h1.*?</h1>)", r"\1<header>\2</header>", page, count=1, flags=re.S)
     inner = pick("", comments, notice, form, side)
     page = re.sub(r"<article[^>]*>", f"<{name}>", page).replace("</article>", f"{inner}</{end}>")
     if rng.random() < 0.5:
@@ -239,7 +316,13 @@ def variant(page: str, donor: str, rng: np.random.Generator) -> str:
         page = page.replace("<footer>", f'<div {pick("class=footer", "id=footer", "class=copyright")}>').replace("</footer>", "</div>")
     if rng.random() < 0.4:
         page = page.replace(f"<{name}>", f"<div class='{pick('page', 'wrap', 'row', 'container')}'><{name}>")
-    return page.replace(f"<{name}>", pick("", top) + pick("", side, notice) + f"<{name}>").replace(f"</{end}>", f"</{end}>" + pick("", comments, side, form), 1)
+    return page.replace(f"<{name}>", pick("", top if headed else "") + pick("", side, notice) + f"<{name}>").replace(f"</{end}>", f"</{end}>" + pick("", comments, side, form, column), 1)
+
+
+def unnamed(page: Page) -> Page:
+    """The page with plain boxes for its telling elements, and without attributes."""
+    plain = {"article", "main", "section", *FENCES} - {"form"}
+    return Page(["div" if t in plain else t for t in page.tag], page.parent, [()] * len(page.tag), page.inline, page.text)
 
 
 @dataclass(frozen=True)
@@ -345,16 +428,17 @@ def main_text(page: Page, state: list[int]) -> str:
     return " ".join(" ".join(blocks).split())
 
 
-def fit(pages: list[str], variants: int = 2, seed: int = 4) -> Boosted | None:
-    """Trains on pages whose markup names the article, and on ``variants`` of each."""
+def fit(pages: list[str], variants: int = 4, seed: int = 7) -> Boosted | None:
+    """Trains on pages whose markup names the article, and on ``variants`` of each, some of them without names."""
     rng = np.random.default_rng(seed)
     rows, states = [], []
     for i, source in enumerate(pages):
         for k in range(variants + 1):
-            page = parse(source if k == 0 else variant(source, pages[int(rng.integers(len(pages)))], rng))
+            hidden = k > 0 and rng.random() < 0.2
+            page = parse(source if k == 0 else variant(source, pages[int(rng.integers(len(pages)))], rng, not hidden))
             state = teacher(page)
             if state is not None:
-                rows.append(features(page))
+                rows.append(features(unnamed(page) if hidden else page))
                 states.append(state)
     return boost(np.concatenate(rows), np.concatenate(states)) if rows else None
 
@@ -368,26 +452,22 @@ def train(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_pa
 
 def extracted(html: Column, model: Boosted | None, spark) -> Column:
     """The main text of each page."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.feature, model.limit, model.leaf, model.prior) if model else None)  # some kB
 
-    @F.pandas_udf("string")
-    def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = shared.value
-        for sources in batches:
-            out: list[str] = []
-            todo = sources.tolist()
-            for at in range(0, len(todo), 64):
-                pages = [parse(s) for s in todo[at : at + 64]]
-                if trees is None:
-                    out.extend("" for _ in pages)
-                    continue
-                logs = log_probabilities(trees, np.concatenate([features(p) for p in pages])).tolist()
-                start = 0
-                for p in pages:
-                    mine = logs[start : start + len(p.tag)]
-                    start += len(p.tag)
-                    out.append(main_text(p, decode(p.parent, mine)))
-            yield pd.Series(out, dtype=object)
+        for sources in in_slices(batches, 64):
+            if trees is None:
+                yield pa.array([""] * len(sources), pa.string())
+                continue
+            pages = [parse(s) for s in sources]
+            logs = log_probabilities(trees, np.concatenate([features(p) for p in pages])).tolist()
+            out, start = [], 0
+            for p in pages:
+                mine = logs[start : start + len(p.tag)]
+                start += len(p.tag)
+                out.append(main_text(p, decode(p.parent, mine)))
+            yield pa.array(out, pa.string())
 
     return extract(html)

@@ -3,12 +3,14 @@
 Texts are lower-cased, UTF-8 encoded and cut into fixed-length byte windows.  Filters of widths
 2, 3 and 4 slide over each window's byte embeddings, each filter keeps its maximum, and a softmax
 layer gives the window's language probabilities; a text's probabilities are the mean over all of
-its windows, weighted by bytes.  The network is trained in numpy on a bounded sample of labelled
-text; every window of every text is scored in batches inside Spark tasks.
+its windows, weighted by bytes.  The score is the best language's probability times the share of the text's
+bytes that training saw, so that text of other scripts scores low.  The network is trained in numpy on a
+bounded sample of labelled text; every window of every text is scored in batches inside Spark tasks.
 
 Defined results: a null text, an empty text and a text without any letter get language ``und``
-and score 0; very long texts are scored whole, a bounded number of windows at a time; repeated rows
-get equal results; a table without labelled rows yields ``und`` everywhere.
+and score 0; of equally probable languages the first by name is taken; very long texts are scored whole, a
+bounded number of windows at a time; repeated rows get equal results; a table without labelled rows
+yields ``und`` everywhere; other columns, whatever their names, are kept and play no part.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fresh, small_batches
+from .common import bounded_sample, fresh, in_slices
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -143,7 +145,7 @@ def scorer(model: ByteCnn):
         use = [i for i, t in enumerate(texts) if t and letter.search(t)]
         if not use or not model.langs:
             return best, score
-        total, weight = np.zeros((len(use), len(model.langs))), np.zeros(len(use))
+        total, weight, seen = np.zeros((len(use), len(model.langs))), np.zeros(len(use)), np.zeros(len(use))
         owners, parts, held = [], [], 0
 
         def flush() -> None:
@@ -154,6 +156,7 @@ def scorer(model: ByteCnn):
                 size = np.count_nonzero(some, axis=1)
                 np.add.at(total, mine, of_windows(some) * size[:, None])
                 np.add.at(weight, mine, size)
+                np.add.at(seen, mine, np.count_nonzero(model.symbol[some] > 1, axis=1))
 
         for j, i in enumerate(use):
             parts.append(windows_of(texts[i]))
@@ -165,7 +168,7 @@ def scorer(model: ByteCnn):
         if parts:
             flush()
         mean = total / weight[:, None]
-        best[use], score[use] = mean.argmax(1), np.minimum(mean.max(1), 1.0)
+        best[use], score[use] = mean.argmax(1), np.minimum(mean.max(1), 1.0) * (seen / weight)
         return best, score
 
     return of_texts
@@ -174,27 +177,25 @@ def scorer(model: ByteCnn):
 def predictor(model: ByteCnn):
     """Column function: text -> struct(lang, score)."""
 
-    small_batches(SparkSession.active())
-
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of_texts = scorer(model)
         names = np.array([*model.langs, UNKNOWN], dtype=object)
-        for texts in batches:
-            best, score = of_texts(texts.tolist())
-            yield pd.DataFrame({"lang": names[best], "score": score})
+        for texts in in_slices(batches, 400):
+            best, score = of_texts(texts)
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang", "score"])
 
     return predict
 
 
-def train(docs: DataFrame, text: str | Column = "text", lang: str = "lang", key: str = "doc_id", max_docs_per_lang: int = 500, snippets: int = 4) -> ByteCnn:
-    """Fits the network on at most about ``max_docs_per_lang`` rows of each language, drawn by a
-    hash of their key, and ``snippets`` window-sized snippets spread evenly over each such text."""
+def train(docs: DataFrame, text: str | Column = "text", lang: str = "lang", key: str = "doc_id", max_docs_per_lang: int = 500, snippets: int = 4, max_langs: int = 200) -> ByteCnn:
+    """Fits the network on at most about ``max_docs_per_lang`` rows of each of the ``max_langs`` most frequent
+    languages, drawn by a hash of their key, and ``snippets`` window-sized snippets spread evenly over each such text."""
     body = F.col(text) if isinstance(text, str) else text
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.coalesce(F.length(body) > 0, F.lit(False)))
-    rows = bounded_sample(labelled, key, max_docs_per_lang, lang)
+    labelled = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), body.alias("text")).filter("lang IS NOT NULL AND key IS NOT NULL AND length(text) > 0")
+    rows, body = bounded_sample(labelled, "key", max_docs_per_lang, "lang", max_langs), F.col("text")
     start = [F.floor(F.greatest(F.length(body) - WINDOW, F.lit(0)) * j / max(1, snippets - 1)).cast("int") + 1 for j in range(snippets)]
-    got = rows.select(F.col(lang), F.array_distinct(F.array(*[F.substring(body, s, F.lit(WINDOW)) for s in start])).alias("snips")).collect()
+    got = rows.select("lang", F.array_distinct(F.array(*[F.substring(body, s, F.lit(WINDOW)) for s in start])).alias("snips")).collect()
     got.sort(key=lambda r: (r[0], r[1]))
     texts, labels = [t for r in got for t in r[1]], [r[0] for r in got for _ in r[1]]
     if not texts:
@@ -208,9 +209,9 @@ def identify(docs: DataFrame, model: ByteCnn, text: str = "text", out: str | Non
     return docs.withColumn(out or fresh(docs, "lang_pred"), predictor(model)(F.col(text)))
 
 
-def keep_identified(docs: DataFrame, model: ByteCnn, min_score: float = 0.3) -> DataFrame:
-    """The rows whose text has a language that the network tells with at least ``min_score``;
-    the columns are those of ``docs``."""
-    name = fresh(docs, "lang_pred")
-    kept = identify(docs, model, out=name).filter((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["score"] >= min_score))
+def keep_identified(docs: DataFrame, model: ByteCnn, least: float = 0.2) -> DataFrame:
+    """The rows whose text has a language that the network tells: its score is above that of a guess among the
+    learned languages by at least ``least`` of what is left to 1.  The columns are those of ``docs``."""
+    name, guess = fresh(docs, "lang_pred"), 1 / len(model.langs) if len(model.langs) > 1 else 0.0
+    kept = identify(docs, model, out=name).filter((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["score"] >= guess + least * (1 - guess)))
     return kept.drop(name)

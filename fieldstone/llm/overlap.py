@@ -23,12 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, discard, settle, small_batches
+from .common import bounded_sample, discard, in_slices, settle
 from .decontam import WordHashes, rolling
 from .simhash import connected
 
@@ -70,11 +69,11 @@ def parity_distance(a: bytes, b: bytes) -> int:
 def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that two or more of a bounded sample of texts hold, sorted, and their ranks from 1, the most frequent last."""
 
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordHashes()
-        for some in batches:
-            yield pd.Series([shingles(known, t).view(np.int64) for t in some])
+        for some in in_slices(batches):
+            yield pa.array([shingles(known, t).view(np.int64) for t in some], pa.list_(pa.int64()))
 
     held = bounded_sample(texts, "k", SAMPLE).dropDuplicates(["k"]).select(F.explode(of("text")).alias("h"))
     top = held.groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
@@ -148,38 +147,39 @@ def _paired(entries: DataFrame, least: float, every: bool) -> DataFrame:
 def links(texts: DataFrame, nodes: DataFrame, edges: DataFrame, least: float = LEAST) -> DataFrame:
     """From texts (k, text), the node of each k (k, node) and edges between nodes (a, b): edges that
     span the same components as the given ones and all near copies together."""
-    small_batches(texts.sparkSession)
     told = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
-    @F.pandas_udf("n int, first array<long>, parity binary")
-    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n int, first array<long>, parity binary")
+    def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordHashes()
-        for some in batches:
+        for some in in_slices(batches):
             sets = [shingles(known, t) for t in some]
             first = [first_shingles(s, *told.value, least).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            yield pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "first": first, "parity": [parity(s) if len(s) else b"" for s in sets]})
+            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([parity(s) if len(s) else b"" for s in sets], pa.binary())]
+            yield pa.StructArray.from_arrays(columns, ["n", "first", "parity"])
 
-    @F.pandas_udf("boolean")
-    def may_be(na: pd.Series, pa: pd.Series, nb: pd.Series, pb: pd.Series) -> pd.Series:
-        most = (na.to_numpy(np.int64) + nb.to_numpy(np.int64)) * (1 - least) / (1 + least) + 1e-9
-        return pd.Series(np.array([parity_distance(x, y) for x, y in zip(pa, pb)], np.int64) <= most)
+    @F.arrow_udf("boolean")
+    def may_be(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for na, xs, nb, ys in in_slices(batches, 4096):
+            most = (np.array(na) + np.array(nb)) * (1 - least) / (1 + least) + 1e-9
+            yield pa.array(np.array([parity_distance(x, y) for x, y in zip(xs, ys)]) <= most)
 
-    @F.pandas_udf("boolean")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known = WordHashes()
-        for some, others in batches:
+        for some, others in in_slices(batches):
             out = []
             for t, u in zip(some, others):
                 x, y = shingles(known, t), shingles(known, u)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pd.Series(out, dtype=bool)
+            yield pa.array(out, pa.bool_())
 
     sets = texts.select("k", described("text").alias("s")).filter("s.n > 0").dropDuplicates(["k"])
     sets = settle(sets.join(nodes, "k").select("k", "node", "s.*"), "sets")
     side = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     for every in (False, True):
-        names = settle(connected(edges), "names")
+        names = connected(edges)
         named = sets.join(names.toDF("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node"))
         entries = named.select(F.explode("first").alias("token"), "k", F.col("n").cast("long").alias("n"), "label")
         pairs = settle(_paired(entries, least, every), "pairs")
@@ -188,8 +188,7 @@ def links(texts: DataFrame, nodes: DataFrame, edges: DataFrame, least: float = L
         held = settle(texts.join(keys, "k", "left_semi").dropDuplicates(["k"]), "held")
         whole = near.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b")
         more = whole.filter(alike("ta", "tb")).select("la", "lb")
-        edges = settle(names.select("node", "root").union(more).toDF("a", "b"), "links")
-        for done in (names, pairs, near, held):
-            discard(done)
+        last, edges = edges, settle(names.select("node", "root").union(more).toDF("a", "b"), "links")
+        discard(names, pairs, near, held, *([last] if every else []))
     discard(sets)
     return edges

@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 MARK = "\u2581"
 MAX_PIECES = 2_000_000
 
@@ -144,7 +142,6 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text"
     """One row per row: key, n_pieces long, pieces array<int>, round_trip boolean (the pieces decode to
     exactly the text; null for a null text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((vocabulary.pieces, vocabulary.byte_ids, vocabulary.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,13 +7,25 @@ the format again), and written back in the same layout, with new check digits.
 equal values stay equal across all documents, different values stay different, and no table of
 seen values is kept or shuffled.  The work is per row; no row meets another.
 
-Formats: e-mail addresses (top-level domain kept), payment cards (13 to 19 digits, Luhn; length and
-first digit kept), IBAN (country kept, mod 97), US social security numbers, phone numbers
-(country code and punctuation kept), IPv4 addresses, dates (ISO, day.month.year, day/month/year),
-access keys (``AKIA...``) and assigned secrets (``password=...``, each character within its class).
+Formats:
+
+* e-mail addresses: top-level domain kept, each letter or digit within its class;
+* payment cards of 13 to 19 digits (Luhn): length and first digit kept, linked across groupings;
+* IBAN (mod 97): country kept; US social security numbers; IPv4 addresses;
+* phone numbers: country code, leading zeros and punctuation kept, linked across punctuation.  Numbers of the North
+  American plan, with or without their country code, must have area and exchange codes from 2 on;
+  others 6 to 14 digits after the country code;
+* dates from 1900 to 2099: ISO, day.month.year, day/month/year, and month/day/year where the first can't be
+  a month's day; the number of digits of day and month is kept.  Dates with two digits each are linked across all
+  layouts but the last, whose pseudonyms again can't be read otherwise; those with single digits are linked
+  among themselves;
+* access keys (``AKIA...``) and assigned secrets (``password=...``, ``"api_key": "..."``), each character within its class.
+
+Values that fail validation are left alone.
 
 Defined results: a null text stays null, an empty one empty; text without a valid value is
-unchanged; very long texts are treated whole; repeated rows get equal results.
+unchanged; very long texts are treated whole; repeated rows get equal results; where two formats could start
+at one place the first of ``FORMATS`` that is valid there is taken; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -23,11 +35,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from .common import fresh, in_slices
 
 ROUNDS = 8
 DEFAULT_KEY = b"fieldstone demonstration key"
@@ -132,25 +144,29 @@ def ssn(text: str, key: bytes) -> str | None:
     return refill(text, str(walk(v, 10**9, key, b"ssn", valid)).zfill(9)) if valid(v) else None
 
 
+# The international country codes of one and two digits; all others have three.
+COUNTRY_CODES = {"1", "7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def phone(text: str, key: bytes) -> str | None:
     d = _digits(text)
-    if not 8 <= len(d) <= 15:
-        return None
-    code = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
-    keep = code[1] if code else ""
-    rest = d[len(keep) :]
+    code = next((d[:n] for n in (1, 2) if d[:n] in COUNTRY_CODES), d[:3]) if text[0] == "+" else "1"
+    kept = code if text[0] == "+" else ""
+    rest = d[len(kept) :]
+    plan = code == "1"  # area and exchange codes start with 2 to 9
+    if not plan:
+        zeros = len(rest) - len(rest.lstrip("0"))
+        kept, rest = kept + rest[:zeros], rest[zeros:]
     n = len(rest)
-    if n < 6:
+    if (n != 10) if plan else not (6 <= n <= 14 and len(d) <= 15 and d[0] != "0"):
         return None
-    plan = keep in ("1", "") and n == 10  # area and exchange codes start with 2 to 9
 
     def valid(v: int) -> bool:
-        return not plan or (v // 10**9 > 1 and v // 10**6 % 10 > 1)
+        return v // 10**9 > 1 and v // 10**6 % 10 > 1 if plan else v >= 10 ** (n - 1)
 
-    v = int(rest)
-    if not valid(v):
-        plan = False
-    return refill(text, keep + str(walk(v, 10**n, key, b"phone%d%d" % (n, plan), valid)).zfill(n))
+    if not valid(int(rest)):
+        return None
+    return refill(text, kept + str(walk(int(rest), 10**n, key, b"phone" + code.encode() + b"-%d" % n, valid)))
 
 
 def ipv4(text: str, key: bytes) -> str | None:
@@ -166,20 +182,31 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 def date(text: str, key: bytes) -> str | None:
     p = re.split(r"[-./]", text)
-    year_first = len(p[0]) == 4
-    for order in ((0, 1, 2),) if year_first else ((2, 1, 0), (2, 0, 1)):
+    year_first, sep = len(p[0]) == 4, text[len(p[0])]
+    for order in ((0, 1, 2),) if year_first else ((2, 1, 0), (2, 0, 1)) if sep == "/" else ((2, 1, 0),):
         try:
             day = datetime.date(*(int(p[i]) for i in order)).toordinal()
         except ValueError:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date"))
-        parts = ["", "", ""]
-        for i, v in zip(order, (new.year, new.month, new.day)):
-            parts[i] = str(v).zfill(4 if v > 31 else 2)
-        sep = text[len(p[0])]
-        return sep.join(parts)
+        month_first = order == (2, 0, 1)
+        plain = {i: len(p[i]) == 1 or p[i][0] != "0" for i in order[1:]}
+        single = any(len(p[i]) == 1 for i in order[1:])
+
+        def written(on: datetime.date) -> list[str] | None:
+            """The parts of a date in this layout; None if it doesn't fit."""
+            out = ["", "", ""]
+            for i, v in zip(order, (on.year, on.month, on.day)):
+                out[i] = str(v).zfill(len(p[i]))
+                if len(out[i]) != len(p[i]) or (single and i in plain and len(p[i]) == 2 and plain[i] != (v > 9)):
+                    return None
+            return out if not month_first or on.day > 12 else None
+
+        tweak = b"date" + b"".join(b"%d%d" % (len(p[i]), plain[i]) for i in order[1:]) * single + b"m" * month_first
+        size = LAST_DAY - FIRST_DAY + 1
+        new = walk(day - FIRST_DAY, size, key, tweak, lambda v: written(datetime.date.fromordinal(FIRST_DAY + v)) is not None)
+        return sep.join(written(datetime.date.fromordinal(FIRST_DAY + new)))
     return None
 
 
@@ -193,14 +220,20 @@ def access_key(text: str, key: bytes) -> str | None:
 
 
 def secret(text: str, key: bytes) -> str | None:
-    at = re.match(r"\w+\s*[=:]\s*[\"']?", text).end()
+    at = ASSIGNED.match(text).end()
     return text[:at] + same_classes(text[at:], key, b"secret")
 
 
+SECRET_WORDS = "password passwd pwd secret api_key apikey token".split()
+NAMED = f"(?i:(?:{'|'.join(SECRET_WORDS)}))"
+# A name that ends or goes on with one of these words, with or without quotes, up to the value.
+ASSIGN = rf"(?:[A-Za-z0-9]+[_.-])*{NAMED}(?:[_-][A-Za-z0-9]+)*[\"']?\s*[=:]\s*[\"']?"
+ASSIGNED = re.compile(ASSIGN)
+
 # In this order where two could start at one place.
 FORMATS = {
     "email": (email, r"(?<![\w.+%-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w-])"),
-    "secret": (secret, r"(?i:\b(?:password|passwd|pwd|secret|api_?key|token)\s*[=:]\s*[\"']?[A-Za-z0-9_/+.-]*[A-Za-z0-9_/+-])"),
+    "secret": (secret, rf"(?<![\w.-]){ASSIGN}[A-Za-z0-9_/+.-]*[A-Za-z0-9_/+-]"),
     "access_key": (access_key, r"\bAKIA[A-Z0-9]{16}\b"),
     "iban": (iban, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "date": (date, r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"),
@@ -212,7 +245,8 @@ FORMATS = {
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (_, p) in FORMATS.items()))
 # The same at a place that is known to follow a separator.
 LATER = re.compile(re.sub(r"\(\?<!(?:\\w|\[[^\]]*\])\)", "", ANY.pattern))
-MAY_HOLD = re.compile(r"[0-9@=]|(?i:password|passwd|pwd|secret|token)\s*:")
+# What every format needs: a digit, an @, or one of the words of the secrets.
+MAY_HOLD = re.compile("[0-9@]|" + NAMED)
 
 
 def replaced(kind: str, text: str, key: bytes) -> tuple[str, str, int] | None:
@@ -264,14 +298,12 @@ def masked(text: Column, key: bytes = DEFAULT_KEY) -> Column:
     """struct(text, kinds): the pseudonymised text and the kinds of the values found, in order.
     A real key must come from the caller; the default only makes runs repeatable."""
 
-    small_batches(SparkSession.active())
-
-    @F.pandas_udf("text string, kinds array<string>")
-    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("text string, kinds array<string>")
+    def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: dict = {}
-        for texts in batches:
+        for texts in in_slices(batches):
             done = [pseudonymise(t, key, seen) for t in texts]
-            yield pd.DataFrame({"text": [t for t, _ in done], "kinds": [k for _, k in done]})
+            yield pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([k for _, k in done], pa.list_(pa.string()))], ["text", "kinds"])
 
     return mask(text)
 

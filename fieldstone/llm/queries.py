@@ -9,24 +9,17 @@ from . import chat, decontam, html, langid, pieces, pii, quality, simhash, sketc
 from .common import id_remainder, table
 
 
-INSULTS = ("idiot", "moron", "loser", "clown", "scum")
-CONTEMPT = ("stupid", "pathetic", "worthless", "disgusting", "trash")
-
-
-def toxic_categories(text: str = "text") -> dict:
-    """Chain order: toxic rows with a word of either list, weakly labelled, then the label itself."""
-    has = lambda words: F.lower(F.coalesce(F.col(text), F.lit(""))).rlike("(?:" + "|".join(words) + ")")
-    toxic = F.col("label.toxic") == 1
-    return {"insult": (toxic & has(INSULTS)), "contempt": (toxic & has(CONTEMPT)), "toxic": toxic}
+def chain_labels() -> dict:
+    """The chain's categories over the columns of ``labels``: low quality, then toxic."""
+    return {"low_quality": F.col("label.quality") == 0, "toxic": F.col("label.toxic") == 1}
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities of every document; flagged from 0.5 in the last category."""
     docs = table(spark, sf_dir, "documents")
-    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxic_categories())
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), chain_labels())
     out = docs.select("doc_id", toxicity.probabilities(F.col("text"), chain, spark).alias("p"))
-    named = [F.col(f"p.{c}").alias(f"p_{c}") for c in chain.categories]
-    return out.select("doc_id", *named, F.col("p.toxic").alias("score"), (F.col("p.toxic") >= 0.5).alias("toxic"))
+    return out.select("doc_id", F.col("p.low_quality").alias("p_low_quality"), F.col("p.toxic").alias("score"), (F.col("p.toxic") >= 0.5).alias("toxic"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

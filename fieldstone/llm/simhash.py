@@ -9,30 +9,29 @@ so each fingerprint is dealt to one shard per choice of that many blocks and eve
 radius meets in some shard.  Each shard is a BK-tree: children are keyed by their integer Hamming
 distance to the parent and a search follows only the edges within the radius.  The trees are built in
 the tasks that own the shards rather than broadcast: fingerprints of all documents have no proven
-bound.  A shard with very many fingerprints is cut into chunks, and every pair of chunks becomes a
-group of its own, so that no task holds an unbounded shard and no link is lost.  A shard emits only a
-spanning forest of its links, so output stays linear in its size.
+bound.  A shard with very many fingerprints is cut again by blocks of the bits that it leaves open, and so on:
+each cut halves the open bits, so that no task holds an unbounded shard and no link is lost.  A shard emits
+only a spanning forest of its links, so output stays linear in its size.
 
-Defined results: null and empty texts have the fingerprint zero and are linked like any other; rows
-that share a doc_id are one document; rows without an id take part in links, and a component of such
-rows alone has a null id.
+Defined results: null and empty texts have the fingerprint zero and are linked like any other; very long texts are
+read whole; rows that share a doc_id are one document; rows without an id take part in links, and a component of such
+rows alone has a null id; other columns, whatever their names, are kept by ``keep_one`` and play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, fresh, settle, small_batches
+from .common import discard, fresh, in_slices, settle
 
 RADIUS = 3
 CHUNK = 2048
@@ -53,15 +52,14 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([simhash(t) for t in texts], dtype=np.uint64).view(np.int64))
+@F.arrow_udf(T.LongType())
+def _fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in in_slices(batches):
+        yield pa.array(np.array([simhash(t) for t in texts], dtype=np.uint64).view(np.int64))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint as a long with the same 64 bits."""
-    small_batches(SparkSession.active())
     return _fingerprint(text)
 
 
@@ -124,10 +122,10 @@ def spanning_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(i, r) for i in range(len(points)) if (r := find(i)) != i]
 
 
-def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
-    """Masks over 64 bits: one for each choice of ``blocks - radius`` of the blocks."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    part = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+def block_masks(blocks: int, radius: int = RADIUS, within: int = (1 << 64) - 1) -> list[int]:
+    """Masks over the bits of ``within``: one for each choice of ``blocks - radius`` of as many blocks of these bits."""
+    bits = [1 << b for b in range(64) if within >> b & 1]
+    part = [sum(bits[len(bits) * i // blocks : len(bits) * (i + 1) // blocks]) for i in range(blocks)]
     return [sum(x) for x in combinations(part, blocks - radius)]
 
 
@@ -143,22 +141,34 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def shards(points: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> list[DataFrame]:
+    """From distinct longs ``fp``: parts of a table (fp, mask, shard), so that any two fingerprints within the radius meet in a
+    shard.  The fingerprints of a shard agree on the bits of its mask.  Shards of over ``chunk`` are dealt anew by masks that
+    hold, beside their own, half of the bits left open, until none is so large or no bits can be cut."""
+    blocks = blocks or blocks_for(points.count(), radius)
+    fp, every = F.col("fp"), (1 << 64) - 1
+    shard = lambda above, mask: F.xxhash64(above, mask, fp.bitwiseAND(mask))
+    dealt = points.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in block_masks(blocks, radius)])).alias("mask"))
+    dealt = dealt.withColumn("shard", shard(F.lit(0).cast("bigint"), F.col("mask")))
+    out = []
+    while True:
+        large = settle(dealt.groupBy("shard", "mask").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk), "full-shards")
+        masks = [r[0] & every for r in large.select("mask").distinct().collect()]  # of a fixed number of choices
+        cut = {m: block_masks(2 * radius, radius, every & ~m) for m in masks if 64 - m.bit_count() >= 2 * radius}
+        if not cut:
+            return [*out, dealt]
+        large = large.filter(F.col("mask").isin([_signed(m) for m in cut]))
+        out.append(dealt.join(large.select("shard"), "shard", "left_anti"))
+        finer = dealt.sparkSession.createDataFrame([(_signed(m), _signed(m | x)) for m in cut for x in cut[m]], "mask long, finer long")
+        again = dealt.join(large.select("shard"), "shard", "left_semi").join(F.broadcast(finer), "mask")  # a fixed number of choices
+        dealt = settle(again.select("fp", F.col("finer").alias("mask"), shard(F.col("shard"), F.col("finer")).alias("shard")), "shards")
+
+
 def links(points: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """From distinct longs ``fp``: pairs (a, b) that span the same components as all pairs of
     fingerprints within the radius."""
-    blocks = blocks or blocks_for(points.count(), radius)
-    fp = F.col("fp")
-    dealt = points.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(block_masks(blocks, radius))])).alias("shard"))
-    full = settle(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk), "full-shards")
-    own = F.pmod(F.xxhash64(fp, F.lit(7)), F.col("m")).cast("int")
-    cut = (
-        dealt.join(full, "shard", "left")
-        .withColumn("m", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
-        .select("fp", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
-    )
-    keyed = cut.repartition("grp").sortWithinPartitions("grp", "fp")
+    dealt = reduce(DataFrame.unionByName, shards(points, radius, blocks, chunk))
+    keyed = dealt.select(F.col("shard").alias("grp"), "fp").repartition("grp").sortWithinPartitions("grp", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_g, held_p = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -192,7 +202,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds; every round is a join and two grouped minima,
-    written to the shared folder before the next."""
+    written to the shared folder before the next, as is the result."""
     now = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     last = None
     while True:
@@ -209,42 +219,54 @@ def connected(edges: DataFrame) -> DataFrame:
         discard(now)
         now = after
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.union(roots.select("root", "root").distinct())
+    out = settle(roots.union(roots.select("root", "root").distinct()), "connected")
+    discard(now)
+    return out
 
 
-def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, more=None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (long), component_id, the smallest doc_id reachable.
-    ``more``, such as ``overlap.links``, adds links: from texts, their fingerprints and the links found so far."""
-    found = [F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")]
-    prints = settle(docs.select(*found, *([F.xxhash64(text).alias("k")] if more else [])), "simhash")
-    points = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
+def _labelled(docs: DataFrame, text: str, doc_id: str, radius: int, more) -> DataFrame:
+    """Per row: doc_id, fp, k (a hash of the text), root (of the component's fingerprints); settled."""
+    found = [F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp"), F.xxhash64(text).alias("k")]
+    prints = settle(docs.select(*found), "simhash")
+    points = settle(prints.select("fp").distinct(), "points")
     shared = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
     same = prints.join(shared, "doc_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    edges = links(points.select("fp"), radius).union(same)
+    first = edges = settle(links(points, radius).union(same), "links")
     if more:
         nodes = prints.groupBy("k").agg(F.min("fp").alias("node"))
         edges = more(docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text")), nodes, edges)
-    labels = settle(connected(edges), "labels")
-    named = labels.join(points, labels["node"] == points["fp"]).select("root", "fp", "rep")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_point = settle(points.join(named.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "components")
-    discard(labels)
-    discard(points)
-    return prints.join(of_point, "fp").select("doc_id", "fp", "component_id")
+    labels = connected(edges)
+    discard(points, first, edges)
+    out = settle(prints.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "fp", "k", F.coalesce("root", "fp").alias("root")), "labelled")
+    discard(prints, labels)
+    return out
+
+
+def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, more=None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (long), component_id, the smallest doc_id reachable.
+    ``more``, such as ``overlap.links``, adds links: from texts, their fingerprints and the links found so far."""
+    found = _labelled(docs, text, doc_id, radius, more)
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = settle(found.join(least, "root").select("doc_id", "fp", "component_id"), "components")
+    discard(found)
+    return out
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, more=None) -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns of ``docs``.
-    Of rows that share this id the one with the smallest text hash stays; rows without id stay."""
-    found = settle(components(docs, text, doc_id, radius, more), "found")
-    key = fresh(docs, "dropped")
-    extra = settle(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "dropped")
-    kept = docs.join(extra, docs[doc_id] == extra[key], "left_anti")
-    again = settle(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)), "repeated")
+    """One row of each component, with the columns of ``docs``: the one with the smallest id, of rows that share this id,
+    and of components without ids, the one with the smallest text hash; of equal ones any."""
+    found = _labelled(docs, text, doc_id, radius, more)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
+    best = found.groupBy("root").agg(F.min(place).alias("best"))
+    key, k, n = fresh(docs, "key"), fresh(docs, "k"), fresh(docs, "n")
+    rows = found.groupBy("root", "doc_id", "k").agg(F.count(F.lit(1)).alias(n)).join(best, "root")
+    rows = rows.select(F.col("doc_id").alias(key), F.col("k").alias(k), n, (F.col("best") == place).alias("stays"))
+    lost = settle(rows.filter("not stays").select(key, k), "dropped")
+    again = settle(rows.filter(F.col("stays") & (F.col(n) > 1)).select(key, k), "repeated")
+    discard(found)
+    at = lambda t: docs[doc_id].eqNullSafe(t[key]) & (F.xxhash64(docs[text]) == t[k])
+    kept = docs.join(lost, at(lost), "left_anti")
     if again.isEmpty():
         return kept
-    from pyspark.sql import Window
-
-    n = fresh(docs, "n")
-    twice = kept.join(again, kept[doc_id] == again[key], "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text), F.col(text))))
-    return kept.join(again, kept[doc_id] == again[key], "left_anti").unionByName(twice.filter(F.col(n) == 1).drop(n))
+    twice = docs.join(again, at(again), "left_semi").groupBy(F.col(doc_id).alias(key), F.xxhash64(text).alias(k)).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias(n))
+    return kept.join(again, at(again), "left_anti").unionByName(twice.select(f"{n}.*"))

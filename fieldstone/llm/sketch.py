@@ -6,16 +6,19 @@ text or corpus in any order.  Two sketches estimate the resemblance (shared shar
 containment (shared share of one text's shingles) and each gives the number of distinct shingles.
 
 Shingles are five consecutive lower-cased words (anything between white space); a text of one to four words
-is one shingle.  Defined results: null and empty texts have empty sketches, two empty sketches are
-alike (1), an empty and another not (0); very long texts are sketched whole; equal texts have equal
-sketches.
+is one shingle.  A shingle's hash is made of its words' hashes, each taken once.
+
+Defined results: null and empty texts have empty sketches, two empty sketches are alike (1), an empty and another
+not (0); very long texts are sketched whole; equal texts have equal sketches; equal hashes count once, so ties can't
+arise; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from .common import settle
 
 K = 128
 WIDTH = 5
@@ -35,12 +38,12 @@ def words(text: Column) -> Column:
 def shingle_hashes(tokens: Column, width: int = WIDTH) -> Column:
     """The distinct hashes of all runs of ``width`` words."""
 
-    def of(t: Column) -> Column:
-        n = F.size(t)
-        spans = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(t, i, width)))
-        return F.when(n >= width, F.array_distinct(spans)).when(n > 0, F.array(F.xxhash64(t))).otherwise(F.array().cast("array<bigint>"))
+    def of(h: Column) -> Column:
+        n = F.size(h)
+        runs = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)]))
+        return F.when(n >= width, F.array_distinct(runs)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(tokens, of)
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), of)
 
 
 def bottom(hashes: Column, k: int = K) -> Column:
@@ -94,56 +97,97 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def in_order(docs: DataFrame, doc_id: str, payload: list[str], parts: int) -> DataFrame:
-    """``docs`` with a struct column ``after`` holding the payload of the next row by ``doc_id`` (of the
-    first row, after the last), without sorting the table in one task.
+RANGE_BYTES, TASK_BYTES = 64 << 20, 256 << 20  # of text in a window, and in a task
+
 
-    Rows are cut into ranges of ids at quantiles; each range is a window of its own, and the first row
-    of every range is also given to the range before it, as a guard row that closes that window."""
-    ids = docs.agg(F.percentile_approx(doc_id, F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5)), F.lit(100 * parts)).alias("q")).first()[0]
-    bounds = sorted(set(ids or []))
+def placed(rows: DataFrame, parts: int, hot: list[tuple[int | None, int]]) -> DataFrame:
+    """``rows`` (doc_id, h, ...) with ``range``: numbers that rise with (doc_id, h), nulls first, of at most about ``parts``
+    ranges of as many ids each.  ``hot`` ids with many rows are cut by h into as many ranges as are given beside them."""
+    q = [i / parts for i in range(1, parts)] or [0.5]
+    ids = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, q)), F.lit(100 * parts)).alias("q")).first()[0]
+    own = [i for i, _ in hot if i is not None]
+    bounds = sorted({*(ids or []), *own, *(i + 1 for i in own)})
     step = max(1, int(len(bounds) ** 0.5))
     fine, coarse = F.array(*map(F.lit, bounds)).cast("array<bigint>"), F.array(*map(F.lit, bounds[::step])).cast("array<bigint>")
 
     def below(array: Column, key: Column) -> Column:
         return F.size(F.filter(array, lambda b: b <= key))
 
-    key = F.col(doc_id)
+    key = F.col("doc_id")
     block = below(coarse, key)
-    place = F.when(key.isNull() | (block == 0), F.lit(0)).otherwise((block - 1) * step + below(F.slice(fine, (block - 1) * step + 1, step), key))
-    ranged = docs.withColumn("__range", place)
-    firsts = ranged.groupBy("__range").agg(F.min(doc_id).alias("__first"), F.count(F.when(key.isNull(), 1)).alias("__nulls"))
-    chain = Window.orderBy("__range")  # at most ``parts`` + 1 rows
-    ends = firsts.withColumn("__first", F.when(F.col("__nulls") > 0, F.lit(None)).otherwise(F.col("__first")))
-    ends = ends.select(F.col("__range").alias("__of"), "__first", F.row_number().over(chain).alias("__n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__all"))
-    guard = ends.select("__first", F.when(F.col("__n") > 1, F.col("__n") - 1).otherwise(F.col("__all")).alias("__n"))
-    to = guard.join(ends.select(F.col("__of").alias("__to"), "__n"), "__n").select("__first", "__to")
-    guards = docs.join(F.broadcast(to), docs[doc_id].eqNullSafe(to["__first"])).drop("__first").withColumnRenamed("__to", "__range")
-    both = ranged.withColumn("__guard", F.lit(0)).unionByName(guards.withColumn("__guard", F.lit(1)))
-    line = Window.partitionBy("__range").orderBy("__guard", F.col(doc_id).asc_nulls_first(), F.xxhash64(*payload))
-    return both.withColumn("after", F.lead(F.struct(*payload)).over(line)).filter("__guard = 0").drop("__guard", "__range")
+    place = F.when(key.isNull(), F.lit(0)).when(block == 0, F.lit(1)).otherwise(1 + (block - 1) * step + below(F.slice(fine, (block - 1) * step + 1, step), key))
+    cut = F.when(key.isNull(), F.lit(dict(hot).get(None, 1)))
+    if own:
+        cut = cut.when(key.isin(own), F.element_at(F.create_map(*[F.lit(x).cast("bigint") for i, n in hot if i is not None for x in (i, n)]), key))
+    cut = cut.otherwise(1)
+    share = F.col("h") / F.lit(SPAN) + 0.5
+    return rows.withColumn("range", F.struct(place.alias("place"), F.least(F.floor(share * cut), cut - 1).alias("sub")))
+
+
+def with_next(rows: DataFrame, parts: int, tasks: int, hot: list[tuple[int | None, int]], k: int) -> DataFrame:
+    """``rows`` (doc_id, h, text, copies) with their sketch ``s`` and ``after``, the text and sketch of the next row by (doc_id, h),
+    the first following the last.
+
+    Each range is a window of its own; the first row of every range is also given to the range before it, as a
+    guard row that closes that window.  Texts are shuffled once and sketched behind the shuffle."""
+    ranged = placed(rows, parts, hot)
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    chain = Window.orderBy("range")  # one row per range
+    ends = firsts.select("range", "first", F.row_number().over(chain).alias("n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("all"))
+    guard = ends.select("first", F.when(F.col("n") > 1, F.col("n") - 1).otherwise(F.col("all")).alias("n"))
+    to = guard.join(ends.select(F.col("range").alias("to"), "n"), "n").select(F.col("first.doc_id").alias("of"), F.col("first.h").alias("at"), "to")
+    to = settle(to, "guards")
+    guards = rows.join(F.broadcast(to), rows["doc_id"].eqNullSafe(to["of"]) & (rows["h"] == to["at"]))  # one row per range
+    guards = guards.select(*rows.columns, F.col("to").alias("range"), F.lit(1).alias("guard"))
+    both = ranged.withColumn("guard", F.lit(0)).unionByName(guards).repartition(tasks, "range").withColumn("s", sketch(F.col("text"), k))
+    line = Window.partitionBy("range").orderBy("guard", F.col("doc_id").asc_nulls_first(), "h")
+    return both.withColumn("after", F.lead(F.struct("text", "s")).over(line)).filter("guard = 0").drop("guard", "range")
+
+
+CHUNK = 10_000
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, parts: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    """One row per row of ``docs``: doc_id (a whole number), n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, distinct_shingles.
 
     The edited text has its last quarter of code points replaced by as many first ones (or all) of
-    the next document in ascending id, the first following the last.  Rows that share an id follow one
-    another by the hash of their text; rows without an id come first."""
-    spark = docs.sparkSession
-    parts = parts or max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("s", sketch(F.col("text"), k))
-    near = in_order(rows, "doc_id", ["text", "s"], parts)
+    the next document in ascending id, the first following the last.  Rows without an id come first; rows that
+    share an id follow one another by the hash of their text, and of equal rows each but the last is followed by its equal."""
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size, n = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count(F.lit(1))).first()
+    parts = parts or max(1, 4 * shuffled, -(-size // RANGE_BYTES))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(1).cast("bigint").alias("copies"))
+    shared = settle(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "shared-ids")
+    repeated, hot = not shared.isEmpty(), []
+    if repeated:
+        ids = shared.select(F.col("doc_id").alias("of"), "rows")
+        same = rows["doc_id"].eqNullSafe(ids["of"])
+        several = rows.join(ids, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h"), "text").agg(F.count(F.lit(1)).alias("copies"))
+        rows = settle(rows.join(ids, same, "left_anti").unionByName(several), "rows")
+        most = max(1, n // parts)  # rows of a range, so that at most ``parts`` ids have more
+        hot = [(r[0], 1 + r[1] // most) for r in rows.groupBy("doc_id").count().filter(F.col("count") > most).collect()]
+    near = with_next(rows, parts, max(shuffled, -(-size // TASK_BYTES)), hot, k)
+    nexts = F.struct("after", F.lit(1).cast("bigint").alias("times"))
+    if repeated:
+        itself = F.struct(F.struct("text", "s").alias("after"), (F.col("copies") - 1).alias("times"))
+        near = near.withColumn("next", F.explode(F.when(F.col("copies") > 1, F.array(nexts, itself)).otherwise(F.array(nexts))))
+    else:
+        near = near.withColumn("next", nexts)
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("after.text"), F.lit(1), cut))
-    out = near.select("doc_id", n.cast("long").alias("n_chars"), "s", F.col("after.s").alias("next"), edited.alias("edited"))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("next.after.text"), F.lit(1), cut))
+    out = near.select("doc_id", n.cast("long").alias("n_chars"), "s", F.col("next.after.s").alias("next"), edited.alias("edited"), F.col("next.times").alias("times"))
     out = out.withColumn("e", sketch(F.col("edited"), k))
-    return out.select(
+    columns = [
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("s")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
         resemblance(F.col("s"), F.col("e"), k).alias("near_edited"), resemblance(F.col("s"), F.col("next"), k).alias("near_next"),
         distinct_shingles(F.col("s"), k).alias("distinct_shingles"),
-    )
+    ]
+    if not repeated:
+        return out.select(*columns)
+    # Copies are written out in chunks that are dealt to all tasks.
+    out = out.select(*columns, "times").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(times - 1) div {CHUNK}")))).repartition(shuffled)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(CHUNK), F.col("times") - F.col("chunk") * CHUNK))))
+    return out.drop("times", "chunk", "copy")

@@ -61,8 +61,8 @@ def test_linear_models_separate():
 
 def test_toxicity_flags_held_out_rows(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
-    chain = toxicity.train(docs, labels.filter("doc_id % 2 = 0"), queries.toxic_categories())
-    assert chain.categories == ("insult", "contempt", "toxic") and [len(e) for e in chain.earlier] == [0, 1, 2]
+    chain = toxicity.train(docs, labels.filter("doc_id % 2 = 0"), queries.chain_labels())
+    assert chain.categories == ("low_quality", "toxic") and [len(e) for e in chain.earlier] == [0, 1]
     got = docs.select("doc_id", toxicity.probabilities(F.col("text"), chain, spark).alias("p")).join(labels.filter("doc_id % 2 = 1"), "doc_id").select("toxic", "p.toxic").collect()
     assert sum((a == 1) == (b >= 0.5) for a, b in got) >= 0.9 * len(got)
     assert sum(a == 0 and b >= 0.5 for a, b in got) <= 0.02 * len(got)
@@ -79,7 +79,7 @@ def test_chain_feeds_earlier_probabilities():
 
 def test_toxicity_awkward_rows(spark, awkward):
     for labels in ([(0, 1, 1), (3, 0, 0), (4, 0, 0), (None, 1, 1), (1, None, None)], []):
-        chain = toxicity.train(awkward, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")), queries.toxic_categories())
+        chain = toxicity.train(awkward, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")), queries.chain_labels())
         got = awkward.select(toxicity.probabilities(F.col("text"), chain, spark).alias("p")).select("p.*").collect()
         assert len(got) == len(AWKWARD) and all(0 <= v <= 1 for r in got for v in r)
 
@@ -99,7 +99,7 @@ def test_quality_awkward_rows(spark, awkward):
 
 def test_shapes_see_repeats_and_case():
     w, s = quality.Hashed(quality.BITS), quality.Shapes(quality.BITS)
-    assert quality._SAME in quality.features("the the the", w, s) and quality._SAME not in quality.features("the of the", w, s)
+    assert quality.SAME in quality.features("the the the", w, s) and quality.SAME not in quality.features("the of the", w, s)
     assert quality.shape("OF!!") != quality.shape("Of!!") and quality.shape("thing") == quality.shape("other")
 
 
