@@ -1,4 +1,7 @@
-"""Metrics of queries and commits: filter complexity, durations, errors, row counts."""
+"""Metrics of queries and commits: filter complexity, durations, errors, row counts.
+
+Sessions record ``query``, ``load`` and ``save`` as commands, and ``query_rows`` and ``save_rows``.
+"""
 
 from __future__ import annotations
 

@@ -1,7 +1,9 @@
 """Binary attachments: named blobs of a document, cut into chunks.
 
 Two tables: ``files`` (one row per document and name) and ``chunks`` (numbered parts of at most
-``CHUNK`` bytes).  An empty blob has a file row and no chunk.  Storing under a name that is taken replaces it.
+``CHUNK`` bytes).  An empty or null blob has a file row of length 0 and no chunk.  Storing under a name that is taken
+replaces it.  Of several blobs of one document and name in a batch one is stored: the one with the highest ``seq``
+if the batch has this column, else the longest, of equally long ones the one with the highest hash.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ CHUNK = 255 * 1024
 DEFAULT_TYPE = "application/octet-stream"
 FILES = "_id string, length bigint, chunkSize int, uploadDate timestamp, filename string, metadata struct<EntityId: string, Name: string, ContentType: string>"
 CHUNKS = "_id string, files_id string, n int, data binary"
+BLOBS = "entity_id string, name string, data binary, content_type string"
 
 
 class CorruptAttachment(Exception):
@@ -23,29 +26,43 @@ def file_name(entity_id: Column, name: Column) -> Column:
     return F.concat(entity_id.cast("string"), F.lit("/"), name)
 
 
-def files_of(blobs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The files table of blobs (entity_id, name, data, content_type).  A file's id is the hash of
-    its name, so both tables come from the blobs without materialising random ids first."""
-    name = file_name(F.col("entity_id"), F.col("name"))
+def one_per_name(blobs: DataFrame) -> DataFrame:
+    """The blobs (entity_id, name, data, content_type) that are stored, one per document and name.  Only
+    blobs whose name is repeated are shuffled."""
+    by = ["entity_id", "name"]
+    size = F.coalesce(F.length("data"), F.lit(0))
+    order = F.col("seq") if "seq" in blobs.columns else F.struct(size, F.xxhash64("data"), F.xxhash64("content_type"))
+    again = blobs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*by)
+    last = blobs.join(again, by, "left_semi").groupBy(*by).agg(F.max_by(F.struct("data", "content_type"), order).alias("__b"))
+    return blobs.join(again, by, "left_anti").select(*by, "data", "content_type").unionByName(last.select(*by, "__b.data", "__b.content_type"))
+
+
+def _file_id(token: str) -> Column:
+    return F.sha2(F.concat(file_name(F.col("entity_id"), F.col("name")), F.lit(token)).cast("binary"), 256)
+
+
+def files_of(blobs: DataFrame, chunk: int = CHUNK, token: str = "") -> DataFrame:
+    """The files table of blobs (entity_id, name, data, content_type), each name once.  A file's id is the hash of its name
+    and ``token``, so both tables come from the blobs without materialising random ids first."""
     kind = F.coalesce(F.col("content_type"), F.lit(DEFAULT_TYPE))
     return blobs.select(
-        F.sha2(name.cast("binary"), 256).alias("_id"), F.length("data").cast("bigint").alias("length"), F.lit(chunk).alias("chunkSize"),
-        F.current_timestamp().alias("uploadDate"), name.alias("filename"),
+        _file_id(token).alias("_id"), F.coalesce(F.length("data"), F.lit(0)).cast("bigint").alias("length"), F.lit(chunk).alias("chunkSize"),
+        F.current_timestamp().alias("uploadDate"), file_name(F.col("entity_id"), F.col("name")).alias("filename"),
         F.struct(F.col("entity_id").cast("string").alias("EntityId"), F.col("name").alias("Name"), kind.alias("ContentType")).alias("metadata"),
     )
 
 
-def chunks_of(blobs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def chunks_of(blobs: DataFrame, chunk: int = CHUNK, token: str = "") -> DataFrame:
     """The chunks table of the same blobs."""
-    file_id = F.sha2(file_name(F.col("entity_id"), F.col("name")).cast("binary"), 256)
     n = F.ceil(F.length("data") / chunk).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("data"), i * chunk + 1, F.lit(chunk)))
-    numbered = blobs.filter(F.length("data") > 0).select(file_id.alias("files_id"), F.posexplode(parts).alias("n", "data"))
+    numbered = blobs.filter(F.length("data") > 0).select(_file_id(token).alias("files_id"), F.posexplode(parts).alias("n", "data"))
     return numbered.select(F.concat_ws("/", "files_id", F.col("n").cast("string")).alias("_id"), "files_id", "n", "data")
 
 
 def stored(files: DataFrame, chunks: DataFrame, blobs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Both tables with the blobs stored, in place of files of the same name."""
+    blobs = one_per_name(blobs)
     new_files, new_chunks = files_of(blobs, chunk), chunks_of(blobs, chunk)
     left_files, left_chunks = deleted(files, chunks, new_files.select("filename"))
     return left_files.unionByName(new_files), left_chunks.unionByName(new_chunks)

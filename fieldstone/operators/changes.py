@@ -20,7 +20,7 @@ SEQ = "__seq"
 
 class ConcurrencyError(Exception):
     """Updates whose row changed or went since it was read.  ``count`` is exact; ``failed_ids`` holds
-    the first ones, at most ``most`` of them (all are in ``rows``)."""
+    the first ones, at most ``most`` of them; all are in ``rows``, which can be read as long as the application runs."""
 
     most = 1000
 
@@ -48,9 +48,10 @@ class ChangeSet:
         """The change set with ``step`` done to what is there."""
         return ChangeSet(*(None if d is None else step(d) for d in (self.deletes, self.inserts, self.updates)))
 
-    def ids(self, key: str) -> DataFrame:
-        """All ids that it touches."""
-        return reduce(DataFrame.union, [d.select(key) for d in (self.deletes, self.inserts, self.updates) if d is not None])
+    def touched(self, base: DataFrame, key: str) -> DataFrame:
+        """The rows of ``base`` that it touches."""
+        ids = reduce(DataFrame.union, [d.select(key) for d in (self.deletes, self.inserts, self.updates) if d is not None])
+        return base.join(ids, key, "left_semi").select(*base.columns)
 
 
 def last_wins(staged: DataFrame, key: str, seq: str = SEQ) -> DataFrame:

@@ -6,7 +6,7 @@ files, whose statistics let scans skip what they don't need.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -46,6 +46,23 @@ class Indexes:
         self.by_name[name] = index
         return name
 
+    def discover(self, *places: object, force: bool = False) -> list[str]:
+        """Adds all definitions that modules, classes or other objects hold as attributes, by attribute name."""
+        found = [v for place in places for _, v in sorted(vars(place).items()) if isinstance(v, Index)]
+        return [self.add(index, force) for index in found]
+
+    def ensure(self, rows: Callable[[str], DataFrame]) -> None:
+        """Checks every unique index on the rows of its collection, as ``rows`` gives them by name; raises UniqueError that
+        names all that fail."""
+        failed = []
+        for index in self.by_name.values():
+            try:
+                check_indexes(rows(index.collection), [index])
+            except UniqueError as error:
+                failed.append(str(error))
+        if failed:
+            raise UniqueError("; ".join(failed))
+
     def of(self, collection: str) -> list[Index]:
         return [i for i in self.by_name.values() if i.collection == collection]
 
@@ -59,6 +76,6 @@ def check_indexes(rows: DataFrame, indexes: Iterable[Index]) -> None:
                 raise UniqueError(f"{index.collection} {index.keys}: {[tuple(r)[:-1] for r in twice]}")
 
 
-def laid_out(rows: DataFrame, index: Index) -> DataFrame:
-    """The rows in ranges of the index's keys, sorted within, ready to be written."""
-    return rows.repartitionByRange(*index.keys).sortWithinPartitions(*index.keys)
+def lay_out(store, index: Index) -> int:
+    """Writes a stored collection anew in ranges of the index's keys, sorted by the first."""
+    return store.fold(index.collection, index.keys)

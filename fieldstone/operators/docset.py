@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldstone.plans.filters import FilterCache
+from fieldstone.plans.filters import FilterCache, stored_names
 from fieldstone.plans.model import Model, find_field
 
 Condition = dict | Column | Callable[[DataFrame], Column] | None
@@ -26,7 +26,7 @@ class DocSet:
         if condition is None:
             return self.rows
         if isinstance(condition, dict):
-            return self.rows.filter(self.cache.translate(condition, self.rows.schema, self.model.id))
+            return self.rows.filter(self.cache.translate(stored_names(condition, self.model.elements), self.rows.schema, self.model.id))
         return self.rows.filter(condition if isinstance(condition, Column) else condition(self.rows))
 
     def load(self, id_value) -> DataFrame:
@@ -38,12 +38,13 @@ class DocSet:
         return self.load(id_value).first()
 
 
-def include(roots: DataFrame, field: str, foreign: DataFrame, foreign_id: str, root_id: str | None = None) -> DataFrame:
+def include(roots: DataFrame, field: str, foreign: DataFrame, foreign_id: str) -> DataFrame:
     """``roots`` with ``_included_<field>``: the array of foreign rows whose id the field holds.
 
     A left outer equi-join: roots without a match, and with a null reference, get an empty array.
     The engine chooses broadcast or shuffle by the true size of the foreign side.  An array of
-    references matches several rows, ordered by id; it needs ``root_id`` to bring them together."""
+    references matches several rows, ordered by id: each distinct array is resolved once, by joining its items,
+    and then joined with its roots."""
     name = f"_included_{field}"
     row = F.struct(*[F.col(c) for c in foreign.columns])
     of = find_field(roots.schema, field)
@@ -54,14 +55,20 @@ def include(roots: DataFrame, field: str, foreign: DataFrame, foreign_id: str, r
     if not isinstance(of.dataType, T.ArrayType):
         out = roots.join(right, roots[of.name] == right["__id"], "left")
         return out.withColumn(name, F.when(F.col("__id").isNotNull(), F.array("__row")).otherwise(none)).drop("__id", "__row")
-    if root_id is None:
-        raise ValueError("an array of references needs the roots' id")
-    wanted = roots.select(F.col(root_id).alias("__root"), F.explode(F.array_distinct(of.name)).alias("__ref"))
-    pair = F.struct("__id", "__row")
-    got = wanted.join(right, wanted["__ref"] == right["__id"]).groupBy("__root").agg(F.array_sort(F.collect_list(pair), lambda a, b: F.when(a["__id"] < b["__id"], -1).when(a["__id"] > b["__id"], 1).otherwise(0)).alias("__all"))
-    out = roots.join(got, roots[root_id] == got["__root"], "left")
-    rows = F.transform("__all", lambda x: x["__row"])
-    return out.withColumn(name, F.coalesce(rows, none)).drop("__root", "__all")
+    wanted = roots.select(F.col(of.name).alias("__refs")).distinct().select("__refs", F.explode(F.array_distinct("__refs")).alias("__ref"))
+    got = wanted.join(right, wanted["__ref"] == right["__id"]).groupBy("__refs").agg(F.collect_list(F.struct("__id", "__row")).alias("__all"))
+    out = roots.join(got, roots[of.name] == got["__refs"], "left")
+    by_id = F.transform(F.sort_array("__all"), lambda x: x["__row"]) if _sortable(right.schema["__row"].dataType) else None
+    if by_id is None:
+        by_id = F.transform(F.array_sort("__all", lambda a, b: F.when(a["__id"] < b["__id"], -1).when(a["__id"] > b["__id"], 1).otherwise(0)), lambda x: x["__row"])
+    return out.withColumn(name, F.coalesce(by_id, none)).drop("__refs", "__all")
+
+
+def _sortable(of: T.DataType) -> bool:
+    """Whether values of the type can be ordered."""
+    if isinstance(of, T.StructType):
+        return all(_sortable(f.dataType) for f in of.fields)
+    return _sortable(of.elementType) if isinstance(of, T.ArrayType) else not isinstance(of, (T.MapType, T.VariantType))
 
 
 def included_rows(roots: DataFrame, field: str, foreign: DataFrame, foreign_id: str) -> DataFrame:
@@ -88,10 +95,10 @@ class Query:
 
     def include(self, field: str, collection: str | None = None) -> Query:
         """Also fetches what ``field`` refers to: of the collection named, or of the model's reference."""
-        to = collection or self.source.model.references.get(field)
+        to = collection or self.source.model.reference(field)
         if to is None:
             raise ValueError(f"'{field}' refers to no known collection")
-        return Query(self.source, self.resolve, self.condition, (*self.fields, field), (*self.to, to))
+        return Query(self.source, self.resolve, self.condition, (*self.fields, self.source.model.element(field)), (*self.to, to))
 
     def roots(self) -> DataFrame:
         """The matching rows, without what they include."""
@@ -101,9 +108,10 @@ class Query:
         out = self.roots()
         for field, to in zip(self.fields, self.to):
             foreign = self.resolve(to)
-            out = include(out, field, foreign.rows, foreign.model.id, self.source.model.id)
+            out = include(out, field, foreign.rows, foreign.model.id)
         return out
 
     def included(self, field: str) -> DataFrame:
+        field = self.source.model.element(field)
         foreign = self.resolve(self.to[self.fields.index(field)])
         return included_rows(self.roots(), field, foreign.rows, foreign.model.id)

@@ -9,6 +9,7 @@ snapshot.  Bulk work is staged as DataFrames and never passes through the driver
 from __future__ import annotations
 
 import copy
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 from typing import Any
@@ -23,8 +24,9 @@ from fieldstone.plans.model import Conventions, Model
 from fieldstone.sources.store import Store
 
 from . import changes as ch
+from . import attachments as at
 from .constraints import Index, check_indexes
-from .docset import DocSet, Query
+from .docset import Condition, DocSet, Query
 
 
 class Entity(dict):
@@ -46,6 +48,8 @@ class Staged:
         self.added: dict[Any, tuple[int, Entity]] = {}
         self.removed: set[Any] = set()
         self.known: dict[Any, tuple[Entity, Entity | None]] = {}  # entity, snapshot (None: untracked)
+        self.blobs: list[tuple[str, DataFrame]] = []  # of attachments: what is stored, under which token
+        self.names: list[DataFrame] = []  # and the names that go or are replaced
 
     def touched(self) -> bool:
         return bool(self.deletes or self.inserts or self.updates or self.added or self.removed or self.dirty())
@@ -121,6 +125,19 @@ class Session:
     def query(self, name: str, condition=None) -> Query:
         return Query(self.set(name), self.set, condition)
 
+    def find(self, name: str, condition: Condition = None, include: Iterable[str] = ()) -> list[Entity]:
+        """The matching rows as entities of the identity map, with staged changes, edits in place included.  What
+        the fields ``include`` refer to becomes loadable without another read, but is not tracked for changes."""
+        with self.metrics.command("query"):
+            query = self.query(name, condition)
+            for field in include:
+                query = query.include(field)
+            found = self.track(name, query.roots())
+            for field, to in zip(query.fields, query.to):
+                self.track(to, query.included(field), shadow=False)
+            self.metrics.add("query_rows", len(found))
+        return found
+
     def track(self, name: str, rows: DataFrame, shadow: bool = True) -> list[Entity]:
         """Brings rows into the identity map and returns its entities: the first one seen of an id stays.
         For row counts that fit the driver; larger work is staged as DataFrames."""
@@ -136,6 +153,16 @@ class Session:
             out.append(staged.known[key][0])
         return out
 
+    def tracked(self, name: str, id_value: Any) -> Entity | None:
+        """The identity map's entity of an id, if it has one; never reads."""
+        return self._staged[self._model(name).name].known.get(id_value, (None, None))[0]
+
+    def untrack(self, name: str, id_value: Any) -> None:
+        """Takes an entity out of the identity map: its edits, and its insert if that is staged, are not saved."""
+        staged = self._staged[self._model(name).name]
+        staged.known.pop(id_value, None)
+        staged.added.pop(id_value, None)
+
     def load(self, name: str, id_value: Any) -> Entity | None:
         """By id: from the identity map, else from what is staged, else from the snapshot."""
         model, staged = self._model(name), self._staged[name]
@@ -145,18 +172,20 @@ class Session:
             return None
         if id_value in staged.known:
             return staged.known[id_value][0]
-        found = self.track(name, DocSet(self._shard_or_view(name, model.id_literal(id_value)), model, self.cache).load(id_value))
+        bulk = staged.deletes or staged.inserts or staged.updates
+        with self.metrics.command("load"):
+            found = self.track(name, DocSet(self._view(name) if bulk else self.base(name), model, self.cache).load(id_value))
         return found[0] if found else None
 
-    def _shard_or_view(self, name: str, id_literal) -> DataFrame:
-        """Where a row of that id is: one shard of the snapshot unless bulk changes are staged."""
-        staged = self._staged[name]
-        if staged.deletes or staged.inserts or staged.updates:
-            return self._view(name)
-        if name not in self._there:
-            return self.base(name)
-        entry = self._manifest[name]
-        return self.store.rows(entry, [self.store.shard_of(entry, id_literal)])
+    def attachments(self, bucket: str | None = None) -> SessionAttachments:
+        """The attachments of a bucket, by default the conventions'; they are saved, or not, with all else."""
+        bucket = bucket or self.conventions.bucket
+        for table, ddl in ((f"{bucket}.files", at.FILES), (f"{bucket}.chunks", at.CHUNKS)):
+            if table not in self.models:
+                schema = T.StructType.fromDDL(ddl)
+                self.models[table] = Model(table, schema, "_id", conventions=self.conventions)
+                self._staged[table] = Staged(self.models[table].tracked)
+        return SessionAttachments(self, bucket)
 
     # -- staging
 
@@ -272,18 +301,15 @@ class Session:
             for name in touched:
                 model, changes, entry = self.models[name], self._changes(name), manifest.get(name)
                 changes = changes.each(lambda d: self.store.park(d, parked))  # made ids stay; nothing is computed twice
-                shards = None
-                base = self.spark.createDataFrame([], model.schema)
-                if entry:
-                    shards = [r[0] for r in changes.ids(model.id).select(self.store.shard(F.col(model.id), entry["shards"])).distinct().collect()]
-                    base = self.store.rows(entry, shards)
+                base = self.store.rows(entry) if entry else self.spark.createDataFrame([], model.schema)
                 version = model.version if self.conventions.version_attribute else None
                 if version and changes.updates is not None:
-                    failed = ch.conflicts(base, changes.updates, model.id, version)
+                    failed = ch.conflicts(base, changes.updates, model.id, version).select(model.id)
                     if not failed.isEmpty():
-                        raise ch.ConcurrencyError(failed, model.id)
-                after = ch.apply(base, changes, model.id, version, self.conventions.strict_insert)
-                staged[name] = self.store.stage(name, after, model.id, entry, shards)
+                        raise ch.ConcurrencyError(self.store.park(failed, []), model.id)  # stays readable after the save
+                after = ch.apply(changes.touched(base, model.id) if entry else base, changes, model.id, version, self.conventions.strict_insert)
+                staged[name] = self.store.stage(name, after, model.id, entry, changes.deletes)
+                self.metrics.add("save_rows", staged[name].pop("rows"))
                 unique = [i for i in self.indexes if i.collection == name and i.unique]
                 if unique:
                     check_indexes(self.store.rows(staged[name]), unique)
@@ -312,3 +338,56 @@ class Session:
             fresh = Staged(s.tracked)
             fresh.known = {k: (e, Entity(copy.deepcopy(dict(e)))) for k, (e, _) in s.known.items()}
             self._staged[name] = fresh
+
+
+class SessionAttachments:
+    """Attachments of one bucket within a session: staged with its other changes, read with them."""
+
+    def __init__(self, session: Session, bucket: str):
+        self.session, self.files, self.chunks = session, f"{bucket}.files", f"{bucket}.chunks"
+
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        return self.session.rows(self.files), self.session.rows(self.chunks)
+
+    def store(self, entity_id: Any, name: str, data: bytes | None, content_type: str | None = None) -> None:
+        """Stages one blob, in place of one of the same name."""
+        self.store_all(self.session.spark.createDataFrame([(str(entity_id), name, None if data is None else bytearray(data), content_type)], at.BLOBS))
+
+    def store_all(self, blobs: DataFrame) -> None:
+        """Stages blobs (entity_id, name, data, content_type) of any number, in place of those of the same names."""
+        blobs = at.one_per_name(blobs)
+        self._stage(blobs.select(at.file_name(F.col("entity_id"), F.col("name")).alias("filename")), blobs)
+
+    def delete(self, entity_id: Any, name: str) -> None:
+        """Stages the removal of one attachment; nothing happens if there is none."""
+        self.delete_all(self.session.spark.createDataFrame([(f"{entity_id}/{name}",)], "filename string"))
+
+    def delete_all(self, names: DataFrame) -> None:
+        """Stages the removal of the files of those file names."""
+        self._stage(names.select("filename"))
+
+    def _stage(self, names: DataFrame, blobs: DataFrame | None = None) -> None:
+        """Files of these names go, saved ones and staged ones; then the blobs come."""
+        files, chunks = self.session._staged[self.files], self.session._staged[self.chunks]
+        named = at.file_name(F.col("entity_id"), F.col("name"))
+        files.blobs = [(t, b.withColumn("filename", named).join(names, "filename", "left_anti").drop("filename")) for t, b in files.blobs]
+        files.names.append(names)
+        if blobs is not None:
+            files.blobs.append((uuid.uuid4().hex, blobs))
+        gone = self.session.base(self.files).join(reduce(DataFrame.union, files.names), "filename", "left_semi").select("_id")
+        files.deletes = [gone]
+        chunks.deletes = [self.session.base(self.chunks).join(gone.toDF("files_id"), "files_id", "left_semi").select("_id")]
+        files.inserts = [at.files_of(b, token=t).withColumn(ch.SEQ, F.lit(i)) for i, (t, b) in enumerate(files.blobs)]
+        chunks.inserts = [at.chunks_of(b, token=t).withColumn(ch.SEQ, F.lit(i)) for i, (t, b) in enumerate(files.blobs)]
+
+    def get(self, entity_id: Any, name: str) -> bytes:
+        """One attachment; FileNotFoundError if there is none."""
+        return at.fetch(*self.tables(), str(entity_id), name)
+
+    def all(self) -> DataFrame:
+        """All files with their data, and whether they are complete."""
+        return at.reassembled(*self.tables())
+
+    def names(self, entity_id: Any) -> DataFrame:
+        """(name, content_type, size) of a document's attachments."""
+        return at.names_of(self.tables()[0], str(entity_id))

@@ -10,8 +10,10 @@ predicate would prevent.  A null parent on a dotted path matches nothing, whatev
 
 from __future__ import annotations
 
-import json
+import datetime
+import decimal
 import re
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -313,14 +315,50 @@ def not_(condition: Any) -> dict:
     return {"$ne": condition}
 
 
+def stored_names(doc: dict, elements: dict[str, str]) -> dict:
+    """The filter document with the stored element names in place of the attribute names at the start of its paths."""
+    if not elements:
+        return doc
+    out = {}
+    for name, value in doc.items():
+        if name in LOGICAL and isinstance(value, (list, tuple)):
+            value = [stored_names(d, elements) for d in value]
+        elif not name.startswith("$"):
+            first, dot, rest = name.partition(".")
+            name = elements.get(first, first) + dot + rest
+        if name in out:
+            raise ValueError(f"'{name}' is named twice, by its attribute and its stored name")
+        out[name] = value
+    return out
+
+
+# Types whose values are equal only if they filter alike, given their type.
+_KEYED = (str, int, float, bool, bytes, type(None), datetime.datetime, datetime.date, datetime.timedelta, decimal.Decimal, uuid.UUID, Regex, re.Pattern)
+
+
+def _key(value: Any) -> Any:
+    """A key that only equal filter values share, in every place; TypeError for values that have none."""
+    if isinstance(value, dict):
+        return (dict, *((k, _key(v)) for k, v in value.items()))
+    if isinstance(value, (list, tuple)):
+        return (list, *map(_key, value))
+    if type(value) not in _KEYED:
+        raise TypeError(type(value).__name__)
+    return (type(value), repr(value)) if isinstance(value, (float, datetime.datetime, decimal.Decimal)) else (type(value), value)
+
+
 class FilterCache:
-    """Translated filters by document and schema; the oldest goes first."""
+    """Translated filters by document and schema; the oldest goes first.  Documents with values other than
+    plain Python ones, such as arrays or Columns, are translated anew each time."""
 
     def __init__(self, most: int = 1000):
         self.most, self.hits, self._made = most, 0, OrderedDict()
 
     def translate(self, doc: dict, schema: T.StructType, id_column: str | None = None) -> Column:
-        key = (json.dumps(doc, default=repr), schema.json(), id_column)
+        try:
+            key = (_key(doc), schema.json(), id_column)
+        except TypeError:
+            return translate(doc, schema, id_column)
         if key in self._made:
             self.hits += 1
             return self._made[key]

@@ -35,7 +35,7 @@ def prefixed_uuid(collection: str) -> Column:
 @dataclass(frozen=True)
 class Conventions:
     """How ids are found and made, the version attribute (None: no optimistic concurrency), whether
-    publishing must be atomic, and how many translated filters are remembered."""
+    publishing must be atomic, how many translated filters are remembered, and the bucket of attachments."""
 
     find_id: Callable[[T.StructType], str | None] = marked_or_named_id
     make_id: Callable[[str], Column] = prefixed_uuid
@@ -43,12 +43,14 @@ class Conventions:
     atomic: bool = True
     strict_insert: bool = False
     filter_cache: int = 1000
+    bucket: str = "fs"
 
 
 @dataclass(frozen=True)
 class Model:
-    """One collection.  ``elements`` maps attribute names to the stored element names; ``references``
-    maps reference fields to the collections they point to; ``ignored`` columns are not tracked."""
+    """One collection.  The schema has the stored element names; ``elements`` maps other attribute names to them, which
+    filters, includes and diffs then take too; ``references`` maps reference fields to the collections they point to;
+    ``ignored`` columns are not tracked."""
 
     name: str
     schema: T.StructType
@@ -62,6 +64,11 @@ class Model:
         """The stored name of an attribute."""
         return self.elements.get(attribute, attribute)
 
+    def reference(self, attribute: str) -> str | None:
+        """The collection that a field refers to, given by its attribute or its stored name."""
+        stored = self.element(attribute)
+        return next((to for name, to in self.references.items() if self.element(name) == stored), None)
+
     @property
     def id(self) -> str:
         found = self.id_column or self.conventions.find_id(self.schema)
@@ -79,7 +86,7 @@ class Model:
     @property
     def tracked(self) -> list[str]:
         """Columns that change tracking compares: no id, version, ignored or untyped columns."""
-        skip = {self.id, self.version, *self.ignored}
+        skip = {self.id, self.version, *map(self.element, self.ignored)}
         return [f.name for f in self.schema.fields if f.name not in skip and not isinstance(f.dataType, T.VariantType)]
 
     def id_literal(self, value) -> Column:

@@ -49,15 +49,22 @@ CUSTOMERS = """(SELECT c_custkey, c_name, c_acctbal, c_mktsegment, nullif(c_mkts
     c_custkey % 3 <> 0 AS has_address, c_nationkey FROM customer) AS c"""
 
 
-def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+LINE = {"part": "l_partkey", "quantity": "l_quantity", "flag": "l_returnflag", "price": "l_extendedprice"}
+
+
+def order_documents(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = tuple(LINE)) -> DataFrame:
     """Orders with their lines as an array of structs; null for orders without lines."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"))).alias("lines")
-    )
+    line = F.struct(*[F.col(LINE[f]).alias(f) for f in fields])
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left").drop("l_orderkey")
 
 
+def orders_with(*fields: str):
+    """Order documents whose lines have only these fields."""
+    return lambda spark, sf_dir: order_documents(spark, sf_dir, fields)
+
+
 def filtered(name: str, doc: dict, sql: str, source=customers, keep: tuple[str, ...] = ("c_custkey",), table: str = CUSTOMERS) -> None:
     """A query that filters by a document."""
 
@@ -77,14 +84,14 @@ filtered("filter_eq_null", {"seg": None}, "seg IS NULL")
 filtered("filter_ne_nulls", {"seg": {"$ne": "MACHINERY"}}, "seg IS DISTINCT FROM 'MACHINERY'")
 filtered("filter_ne_null", {"seg": {"$ne": None}}, "seg IS NOT NULL")
 filtered("filter_not_value", {"seg": not_("MACHINERY")}, "seg IS DISTINCT FROM 'MACHINERY'")
-filtered("filter_gt", {"c_acctbal": {"$gt": 5000}}, "c_acctbal > 5000")
-filtered("filter_gte", {"c_acctbal": {"$gte": 5000.5}}, "c_acctbal >= 5000.5")
+filtered("filter_gt", {"c_custkey": {"$gt": 100}}, "c_custkey > 100")
+filtered("filter_gte", {"c_custkey": {"$gte": 100}}, "c_custkey >= 100")
 filtered("filter_lt", {"c_acctbal": {"$lt": 0}}, "c_acctbal < 0")
 filtered("filter_lte", {"c_custkey": {"$lte": 500}}, "c_custkey <= 500")
 filtered("filter_range_multi_op", {"c_acctbal": {"$gte": 0, "$lt": 2500}}, "c_acctbal >= 0 AND c_acctbal < 2500")
 filtered("filter_in", {"seg": {"$in": ["MACHINERY", "FURNITURE"]}}, "seg IN ('MACHINERY', 'FURNITURE')")
 filtered("filter_in_with_null", {"seg": {"$in": ["MACHINERY", None]}}, "seg = 'MACHINERY' OR seg IS NULL")
-filtered("filter_in_empty", {"seg": {"$in": []}}, "false")
+filtered("filter_in_empty", {"$or": [{"seg": {"$in": []}}, {"c_custkey": {"$lte": 10}}]}, "c_custkey <= 10")
 filtered("filter_nin_nulls", {"seg": {"$nin": ["MACHINERY", "FURNITURE"]}}, "seg IS NULL OR seg NOT IN ('MACHINERY', 'FURNITURE')")
 filtered("filter_nin_with_null", {"seg": {"$nin": ["MACHINERY", None]}}, "seg IS NOT NULL AND seg <> 'MACHINERY'")
 filtered("filter_implicit_and", {"c_mktsegment": "BUILDING", "c_acctbal": {"$gt": 0}}, "c_mktsegment = 'BUILDING' AND c_acctbal > 0")
@@ -99,13 +106,17 @@ PARTS = "(SELECT p_partkey, p_name, p_brand FROM part) AS p"
 parts = lambda spark, sf_dir: read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
 filtered("filter_regex", {"p_name": {"$regex": "ring$"}}, "regexp_matches(p_name, 'ring$')", parts, ("p_partkey",), PARTS)
 filtered("filter_regex_flags", {"p_name": Regex("^SMALL", "i")}, "regexp_matches(p_name, '^SMALL', 'i')", parts, ("p_partkey",), PARTS)
+filtered("filter_regex_newlines", {"lines": Regex("^small$", "m")}, "list_contains(string_split(p_name, ' '), 'small')", lambda spark, sf_dir: parts(spark, sf_dir).withColumn("lines", F.translate("p_name", " ", "\n")), ("p_partkey",), PARTS)
+filtered("filter_regex_free_spacing", {"p_name": Regex("^ small # the size", "x")}, "regexp_matches(p_name, '^small')", parts, ("p_partkey",), PARTS)
 filtered("filter_regex_prefix", {"p_name": {"$regex": "^small"}}, "starts_with(p_name, 'small')", parts, ("p_partkey",), PARTS)
 filtered("filter_regex_negated", {"$nor": [{"p_name": {"$regex": "ring"}}]}, "NOT regexp_matches(p_name, 'ring')", parts, ("p_partkey",), PARTS)
 filtered("filter_regex_null", {"$nor": [{"seg": {"$regex": "A"}}]}, "NOT coalesce(regexp_matches(seg, 'A'), false)")
-events = lambda spark, sf_dir: read(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.try_variant_get(F.parse_json("props"), "$.k", "variant").alias("k"))
-EVENTS = "(SELECT event_id, ts, event_type, json_type(props, '$.k') AS kind FROM events) AS e"
-filtered("filter_type_variant", {"k": {"$type": ["int", "string"]}}, "kind IN ('UBIGINT', 'BIGINT', 'VARCHAR')", events, ("event_id",), EVENTS)
-filtered("filter_type_variant_none", {"k": {"$type": "bool"}}, "kind = 'BOOLEAN'", events, ("event_id",), EVENTS)
+# Every event gets a field that is a number, a text, a truth value or an object.
+events = lambda spark, sf_dir: read(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.parse_json(F.expr("""concat('{"k":', CASE event_id % 4 WHEN 0 THEN '5' WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN 'true' ELSE props END, '}')""")), "$.k", "variant").alias("k"))
+EVENTS = "(SELECT event_id, event_id % 4 AS kind FROM events) AS e"
+filtered("filter_type_variant", {"k": {"$type": ["int", "string"]}}, "kind IN (0, 1)", events, ("event_id",), EVENTS)
+filtered("filter_type_variant_one", {"k": {"$type": "bool"}}, "kind = 2", events, ("event_id",), EVENTS)
+filtered("filter_type_variant_negated", {"$nor": [{"k": {"$type": "string"}}]}, "kind <> 1", events, ("event_id",), EVENTS)
 filtered("filter_type_static", {"seg": {"$type": "string"}}, "seg IS NOT NULL")
 filtered("filter_type_static_negated", {"$nor": [{"seg": {"$type": "string"}}]}, "seg IS NULL")
 
@@ -116,17 +127,17 @@ filtered("filter_nested_ne", {"address.seg": {"$ne": "MACHINERY"}}, "has_address
 filtered("filter_nested_nin_negated", {"$nor": [{"address.seg": {"$nin": ["MACHINERY"]}}]}, "NOT has_address OR seg = 'MACHINERY'")
 O = "(SELECT o_orderkey FROM orders) AS o"
 one = lambda test: f"EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND {test})"
-filtered("filter_array_path_any", {"lines.flag": "R"}, one("l_returnflag = 'R'"), order_documents, ("o_orderkey",), O)
-filtered("filter_array_path_ne", {"lines.flag": {"$ne": "N"}}, one("l_returnflag <> 'N'"), order_documents, ("o_orderkey",), O)
-filtered("filter_array_path_negated", {"$nor": [{"lines.flag": "R"}]}, f"NOT {one('''l_returnflag = 'R' ''')}", order_documents, ("o_orderkey",), O)
-filtered("filter_array_path_in", {"lines.part": {"$in": [1, 2, 3]}}, one("l_partkey IN (1, 2, 3)"), order_documents, ("o_orderkey",), O)
-filtered("filter_elem_match", {"lines": {"$elemMatch": {"quantity": {"$gt": 45}, "flag": "R"}}}, one("l_quantity > 45 AND l_returnflag = 'R'"), order_documents, ("o_orderkey",), O)
-filtered("filter_elem_match_or", {"lines": {"$elemMatch": {"$or": [{"quantity": {"$gte": 50}}, {"price": {"$lt": 1000}}]}}}, one("(l_quantity >= 50 OR l_extendedprice < 1000)"), order_documents, ("o_orderkey",), O)
-filtered("filter_elem_match_negated", {"$nor": [{"lines": {"$elemMatch": {"quantity": {"$gt": 45}}}}]}, f"NOT {one('l_quantity > 45')}", order_documents, ("o_orderkey",), O)
+filtered("filter_array_path_any", {"lines.flag": "R"}, one("l_returnflag = 'R'"), orders_with("flag"), ("o_orderkey",), O)
+filtered("filter_array_path_ne", {"lines.flag": {"$ne": "N"}}, one("l_returnflag <> 'N'"), orders_with("flag"), ("o_orderkey",), O)
+filtered("filter_array_path_negated", {"$nor": [{"lines.flag": "R"}]}, f"NOT {one('''l_returnflag = 'R' ''')}", orders_with("flag"), ("o_orderkey",), O)
+filtered("filter_array_path_in", {"lines.part": {"$in": [1, 2, 3]}}, one("l_partkey IN (1, 2, 3)"), orders_with("part"), ("o_orderkey",), O)
+filtered("filter_elem_match", {"lines": {"$elemMatch": {"quantity": {"$gt": 45}, "flag": "R"}}}, one("l_quantity > 45 AND l_returnflag = 'R'"), orders_with("quantity", "flag"), ("o_orderkey",), O)
+filtered("filter_elem_match_or", {"lines": {"$elemMatch": {"$or": [{"quantity": {"$gte": 50}}, {"price": {"$lt": 1000}}]}}}, one("(l_quantity >= 50 OR l_extendedprice < 1000)"), orders_with("quantity", "price"), ("o_orderkey",), O)
+filtered("filter_elem_match_negated", {"$nor": [{"lines": {"$elemMatch": {"quantity": {"$gt": 45}}}}]}, f"NOT {one('l_quantity > 45')}", orders_with("quantity"), ("o_orderkey",), O)
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_documents(spark, sf_dir).select("o_orderkey", F.transform("lines", lambda x: x["flag"]).alias("flags"))
+    return order_documents(spark, sf_dir, ("flag",)).select("o_orderkey", F.transform("lines", lambda x: x["flag"]).alias("flags"))
 
 
 filtered("filter_all", {"flags": {"$all": ["R", "N"]}}, f"{one('''l_returnflag = 'R' ''')} AND {one('''l_returnflag = 'N' ''')}", flagged, ("o_orderkey",), O)
@@ -164,10 +175,12 @@ def load_by_id(spark, sf_dir):
     return DocSet(rows, Model("orders", rows.schema, "o_orderkey")).load(77).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("load_missing_id", "SELECT o_orderkey FROM orders WHERE false")
+@query("load_missing_id", "SELECT CAST(count(*) FILTER (WHERE o_orderkey = -5) AS BIGINT) AS missing, CAST(count(*) FILTER (WHERE o_orderkey = 77) AS BIGINT) AS there FROM orders")
 def load_missing_id(spark, sf_dir):
     rows = read(spark, sf_dir, "orders")
-    return DocSet(rows, Model("orders", rows.schema, "o_orderkey")).load(-5).select("o_orderkey")
+    orders = DocSet(rows, Model("orders", rows.schema, "o_orderkey"))
+    number = lambda key, name: orders.load(key).agg(F.count(F.lit(1)).alias(name))
+    return number(-5, "missing").crossJoin(number(77, "there"))  # one row each
 
 
 @query("include_customer", """SELECT o_orderkey, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000""")
@@ -208,8 +221,8 @@ def include_two(spark, sf_dir):
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
 )
 def include_array_fk(spark, sf_dir):
-    orders = order_documents(spark, sf_dir).withColumn("parts", F.transform("lines", lambda x: x["part"])).select("o_orderkey", "parts")
-    out = include(orders, "parts", read(spark, sf_dir, "part"), "p_partkey", "o_orderkey")
+    orders = order_documents(spark, sf_dir, ("part",)).withColumn("parts", F.transform("lines", lambda x: x["part"])).select("o_orderkey", "parts")
+    out = include(orders, "parts", read(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     return out.select("o_orderkey", F.size("_included_parts").alias("n_parts"), F.get("_included_parts", F.lit(0))["p_partkey"].alias("lowest"))
 
 
@@ -358,9 +371,12 @@ def diff_change_documents(spark, sf_dir):
     return out.filter(F.map_contains_key("changes", "p_name")).select("p_partkey", F.element_at("changes", "p_name").alias("name_change"))
 
 
-@query("diff_map_order", "SELECT p_partkey FROM part WHERE false")
+@query("diff_map_order", "SELECT p_partkey FROM part WHERE p_partkey % 4 = 0")
 def diff_map_order(spark, sf_dir):
-    return diff.dirty(*edited(spark, sf_dir), "p_partkey", ["tags"]).select("p_partkey")
+    """All maps have another order, some another value too."""
+    base, current = edited(spark, sf_dir)
+    tags = F.transform_values("tags", lambda k, v: F.when((k == "type") & (F.col("p_partkey") % 4 == 0), F.concat(v, F.lit("?"))).otherwise(v))
+    return diff.dirty(base, current.withColumn("tags", tags), "p_partkey", ["tags"]).select("p_partkey")
 
 
 @query("diff_null_empty", "SELECT p_partkey FROM part WHERE p_partkey % 6 = 0")
@@ -385,11 +401,11 @@ def unique_violations(spark, sf_dir):
     return changes.unique_violations(rows, ["seg", "balance"])
 
 
-@query("filter_metrics", "SELECT CAST(6 AS INTEGER) AS complexity, CAST(count(*) AS BIGINT) AS matched FROM customer WHERE c_acctbal > 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+@query("filter_metrics", "SELECT CAST(5 AS INTEGER) AS complexity, CAST(count(*) AS BIGINT) AS matched FROM customer WHERE c_acctbal > 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def filter_metrics(spark, sf_dir):
     rows, m = read(spark, sf_dir, "customer"), metrics.Metrics()
     doc = m.filter({"$and": [{"c_acctbal": {"$gt": 0}}, {"c_mktsegment": {"$in": ["BUILDING", "MACHINERY"]}}, {}]})
-    return rows.filter(translate(doc, rows.schema)).agg(F.lit(int(m.total["filter_complexity"]) + 1).alias("complexity"), F.count(F.lit(1)).alias("matched"))
+    return rows.filter(translate(doc, rows.schema)).agg(F.lit(int(m.total["filter_complexity"])).alias("complexity"), F.count(F.lit(1)).alias("matched"))
 
 
 # -- attachments: every document's text as a blob, in chunks of 1000 bytes
@@ -433,6 +449,30 @@ def attachment_replace_delete(spark, sf_dir):
     return whole.select(F.col("metadata.EntityId").alias("entity"), F.decode("data", "UTF-8").alias("body"))
 
 
+@query("attachment_repeated_names", "SELECT 'source/' || source AS entity, CAST(max(octet_length(encode(text))) AS BIGINT) AS size, true AS complete FROM documents GROUP BY source")
+def attachment_repeated_names(spark, sf_dir):
+    """One name per source, so of each source's texts the longest is stored."""
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("source/"), "source").alias("entity_id"), F.lit("body.txt").alias("name"), F.encode("text", "UTF-8").alias("data"), F.lit(None).cast("string").alias("content_type"))
+    none = d.filter("false")
+    whole = attachments.reassembled(*attachments.stored(attachments.files_of(none, PART), attachments.chunks_of(none, PART), d, PART))
+    return whole.select(F.col("metadata.EntityId").alias("entity"), F.length("data").cast("bigint").alias("size"), "complete")
+
+
+@query("attachment_null_data", "SELECT 'documents/' || doc_id AS entity, CAST(CASE WHEN doc_id % 2 = 0 THEN octet_length(encode(text)) ELSE 0 END AS BIGINT) AS size, true AS complete FROM documents")
+def attachment_null_data(spark, sf_dir):
+    b = blobs(spark, sf_dir).withColumn("data", F.when(F.col("content_type").isNotNull(), F.col("data")))
+    whole = attachments.reassembled(attachments.files_of(b, PART), attachments.chunks_of(b, PART))
+    return whole.select(F.col("metadata.EntityId").alias("entity"), F.col("length").alias("size"), "complete")
+
+
+@query("filter_element_names", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING'")
+def filter_element_names(spark, sf_dir):
+    """Attribute names in the filter, stored names in the files."""
+    rows = read(spark, sf_dir, "customer")
+    model = Model("customer", rows.schema, "c_custkey", elements={"Balance": "c_acctbal", "Segment": "c_mktsegment"})
+    return DocSet(rows, model).query({"$and": [{"Balance": {"$gt": 0}}, {"Segment": {"$ne": "BUILDING"}}]}).select("c_custkey")
+
+
 @query("flagship", """SELECT o_orderkey, c_name AS customer, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 AND o_orderstatus <> 'F' AND c_acctbal IS NOT NULL""")
 def flagship(spark, sf_dir):
     """A filter document over orders, then the customers they refer to."""

@@ -41,9 +41,9 @@ class Context:
         return self.register(Model(name, load(self.spark).schema, id_column, conventions=self.conventions), load)
 
     def from_rows(self, model: Model, rows: Iterable) -> Model:
-        """A collection of given rows, with ids made where they have none."""
-        data = list(rows)
-        return self.register(model, lambda spark: model.with_ids(spark.createDataFrame(data, model.schema)))
+        """A collection of given rows, with ids made, once, where they have none."""
+        data = model.with_ids(self.spark.createDataFrame(list(rows), model.schema)).collect()
+        return self.register(model, lambda spark: spark.createDataFrame(data, model.schema))
 
     def set(self, name: str) -> DocSet:
         if name not in self.models:

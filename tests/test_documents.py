@@ -8,7 +8,7 @@ from fieldstone.functions.metrics import Metrics
 from fieldstone.operators import attachments as at
 from fieldstone.operators import changes as ch
 from fieldstone.operators import diff
-from fieldstone.operators.constraints import Index, Indexes, UniqueError
+from fieldstone.operators.constraints import Index, Indexes, UniqueError, lay_out
 from fieldstone.operators.docset import include, included_rows
 from fieldstone.operators.session import Session
 from fieldstone.plans.model import Conventions, Model
@@ -28,8 +28,10 @@ def test_include_scalar_array_and_missing(spark):
     orders = spark.createDataFrame([("o1", "c1", ["c2", "c1", "c2"]), ("o2", "zz", []), ("o3", None, None)], "Id string, CustomerId string, CustomerIds array<string>")
     one = {r.Id: [x.Name for x in r._included_CustomerId] for r in include(orders, "CustomerId", customers, "Id").collect()}
     assert one == {"o1": ["Robin"], "o2": [], "o3": []}
-    many = {r.Id: [x.Name for x in r._included_CustomerIds] for r in include(orders, "CustomerIds", customers, "Id", "Id").collect()}
+    many = {r.Id: [x.Name for x in r._included_CustomerIds] for r in include(orders, "CustomerIds", customers, "Id").collect()}
     assert many == {"o1": ["Robin", "Crow"], "o2": [], "o3": []}
+    nameless = orders.withColumn("Id", F.lit(None).cast("string"))
+    assert sorted(len(r._included_CustomerIds) for r in include(nameless, "CustomerIds", customers, "Id").collect()) == [0, 0, 2]
     assert rows_of(included_rows(orders, "CustomerId", customers, "Id")) == [("c1", "Robin")]
 
 
@@ -138,21 +140,131 @@ def test_bulk_changes_attach_and_unversioned(spark, store):
     assert {r.Id: r.Name for r in s.rows("people").collect()} == {str(i): {95: "u", 96: "edited"}.get(i, "n") for i in range(90, 100)}
     assert rows_of(store.read("people", 1).agg(F.count(F.lit(1)))) == [(100,)]
     first, second = store.manifest(1)["people"], store.manifest(2)["people"]
-    assert set(first["folders"].values()) - set(second["folders"].values())
-    assert store.vacuum() == len(set(first["folders"].values()) - set(second["folders"].values()))
+    assert first["base"] == second["base"] and len(second["changes"]) == 1  # a save writes what it changes
 
 
-def test_small_changes_rewrite_few_shards(spark, store):
+def test_folding_keeps_rows_and_history(spark, store):
     s = open_(store)
     s.insert("people", spark.range(200).select(F.col("id").cast("string").alias("Id"), F.lit("n").alias("Name"), F.lit(1).cast("long").alias("Version")))
     s.save()
-    s.load("people", "7")["Name"] = "seven"
-    s.delete_one("people", "8")
+    for i in range(3):
+        s.load("people", "7")["Name"] = f"seven{i}"
+        s.delete_one("people", str(20 + i))
+        s.store_one("people", {"Id": str(20 + i - 1), "Name": "again", "Version": 1})
+        s.save()
+    before = rows_of(store.read("people"))
+    assert len(before) == 199 and ("7", "seven2", 4) in before and ("20", "again", 1) in before
+    assert not any(r[0] == "22" for r in before) and ("19", "again", 1) in before
+    assert lay_out(store, Index("people", ("Name", "Id"))) == 5
+    assert rows_of(store.read("people")) == before and store.manifest(5)["people"]["changes"] == []
+    assert rows_of(store.read("people", 1).agg(F.count(F.lit(1)))) == [(200,)]
+    s.open()
+    s.load("people", "7")["Name"] = "after"
+    s.save()
+    assert open_(store).load("people", "7")["Name"] == "after"
+
+
+def test_vacuum_spares_staged_and_pinned_folders(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db", history=1)
+    row = lambda name: spark.createDataFrame([("1", name, 1)], PERSON)
+    store.publish({"people": store.stage("people", row("a"), "Id")}, 0)
+    pinned = open_(store)
+    staged = store.stage("people", row("b"), "Id")
+    assert store.vacuum() == 0  # young folders stay
+    store.publish({"people": staged}, 1)
+    assert store.vacuum() == 0 and rows_of(pinned.rows("people")) == [("1", "a", 1)] and rows_of(store.read("people")) == [("1", "b", 1)]
+    assert store._commits() == [2]  # older commit files went with the history
+    assert store.vacuum(older_than=-1) == 1 and rows_of(store.read("people")) == [("1", "b", 1)]
+
+
+def test_all_conflicts_can_be_read(spark, store):
+    s = open_(store)
+    s.insert("people", spark.range(1500).select(F.col("id").cast("string").alias("Id"), F.lit("n").alias("Name"), F.lit(1).cast("long").alias("Version")))
+    s.save()
+    late = open_(store)
+    for t in (s, late):
+        t.update("people", t.base("people").withColumn("Name", F.lit("m")))
+    s.save()
+    with pytest.raises(ch.ConcurrencyError) as e:
+        late.save()
+    assert e.value.count == 1500 == e.value.rows.distinct().count() and len(e.value.failed_ids) == 1000
+
+
+def test_finding_tracks_and_includes(spark, store):
+    m = Metrics()
+    models = [Model("people", PERSON), Model("pets", T.StructType.fromDDL("Id string, Owner string"), references={"Owner": "people"}, elements={"Keeper": "Owner"})]
+    s = Session(store, models, metrics=m)
+    for i in "12":
+        s.store_one("people", {"Id": i, "Name": f"n{i}", "Version": 1})
+        s.store_one("pets", {"Id": f"pet{i}", "Owner": i})
+    s.save()
+    s.open()
+    pets = s.find("pets", {"Keeper": {"$ne": "2"}}, include=["Keeper"])
+    assert [p["Id"] for p in pets] == ["pet1"] and s.find("pets", lambda d: d["Owner"] == "1")[0] is pets[0]
+    owner = s.load("people", "1")
+    assert owner["Name"] == "n1" and m.count["load_seconds"] == 0 and s.tracked("people", "2") is None
+    owner["Name"] = "not tracked"
+    assert s.pending("people")["dirty"] == []
+    pets[0]["Owner"] = "2"
+    assert s.pending("pets")["dirty"] == ["pet1"]
+    s.untrack("pets", "pet1")
+    assert s.pending("pets")["dirty"] == [] and s.load("pets", "pet1")["Owner"] == "1" and m.count["load_seconds"] == 1
+    assert m.total["query_rows"] == 2 and m.count["query_seconds"] == 2 and m.total["save_rows"] == 4
+
+
+def test_attachments_go_with_their_session(store):
+    s = open_(store, Conventions(bucket="media"))
+    a = s.attachments()
+    a.store("p1", "a", b"one")
+    a.store("p1", "a", b"two!")
+    a.store("p1", "b", None)
+    a.store("p1", "c", b"x")
+    a.delete("p1", "c")
+    assert a.get("p1", "a") == b"two!" and a.get("p1", "b") == b""
+    s.store_one("people", {"Id": "p1", "Name": "x", "Version": 1})
     s.save()
-    a, b = (store.manifest(c)["people"]["folders"] for c in (1, 2))
-    assert len(a) == 16 and 14 <= sum(a[k] == b.get(k) for k in a) <= 15
-    assert s.rows("people").count() == 199 and open_(store).load("people", "7") == {"Id": "7", "Name": "seven", "Version": 2}
-    assert open_(store).load("people", "8") is None
+    assert sorted(store.tables()) == ["media.chunks", "media.files", "people"]
+    t = open_(store, Conventions(bucket="media"))
+    assert rows_of(t.attachments().names("p1").select("name", "size")) == [("a", 4), ("b", 0)]
+    t.attachments().delete("p1", "a")
+    t.attachments().store("p1", "d", b"d")
+    with pytest.raises(FileNotFoundError):
+        t.attachments().get("p1", "a")
+    t.abort()
+    assert t.attachments().get("p1", "a") == b"two!"
+    with pytest.raises(FileNotFoundError):
+        t.attachments().get("p1", "d")
+
+
+def test_seeded_rows_keep_their_ids(spark):
+    ctx = Context(spark)
+    ctx.from_rows(Model("people", PERSON), [(None, "x", 1), ("2", "y", 1)])
+    made = [r.Id for r in ctx.set("people").rows.collect()]
+    assert made == [r.Id for r in ctx.set("people").rows.collect()] and ctx.set("people").get(made[0])["Name"] == "x"
+
+
+def test_indexes_are_discovered_and_ensured(spark):
+    class Definitions:
+        names = Index("people", ("Name",), unique=True)
+        versions = Index("people", ("Version",), unique=True)
+        other = "no index"
+
+    known = Indexes()
+    assert known.discover(Definitions) == ["people", "people_1"]
+    rows = spark.createDataFrame([("1", "x", 1), ("2", "y", 1)], PERSON)
+    with pytest.raises(UniqueError, match="Version"):
+        known.ensure(lambda name: rows)
+    known.ensure(lambda name: rows.limit(1))
+
+
+def test_repeated_names_in_one_batch(spark):
+    rows = [("e", "a", bytearray(b"12345"), "t", 1), ("e", "a", bytearray(b"xy"), None, 2), ("e", "b", None, "t", 1)]
+    blobs = spark.createDataFrame(rows, at.BLOBS + ", seq int")
+    none = blobs.filter("false")
+    for some, want in ((blobs, b"xy"), (blobs.drop("seq"), b"12345")):
+        files, chunks = at.stored(at.files_of(none, 2), at.chunks_of(none, 2), some, 2)
+        assert files.count() == 2 and at.fetch(files, chunks, "e", "a") == want and at.fetch(files, chunks, "e", "b") == b""
+        assert at.reassembled(files, chunks).filter("complete").count() == 2
 
 
 def test_publishing_is_compare_and_swap(spark, store):

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from fieldstone.plans import queries as plans
+from fieldstone.plans import session_queries  # noqa: F401 (registers its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
