@@ -10,11 +10,13 @@ seen values is kept or shuffled.  The work is per row; no row meets another.
 Formats:
 
 * e-mail addresses: top-level domain kept, each letter or digit within its class;
-* payment cards of 13 to 19 digits (Luhn): length and first digit kept, linked across groupings;
+* payment cards of 13 to 19 digits (Luhn), in one or in groups of three or more but for the last: length and first digit kept, linked
+  across groupings;
 * IBAN (mod 97): country kept; US social security numbers; IPv4 addresses;
 * phone numbers: country code, leading zeros and punctuation kept, linked across punctuation.  Numbers of the North
-  American plan, with or without their country code, must have area and exchange codes from 2 on;
-  others 6 to 14 digits after the country code;
+  American plan have ten digits, and area and exchange codes from 2 on; those that haven't such codes are permuted
+  among themselves, if a country code or a bracket says that they are meant as phone numbers; others have 6 to 14
+  digits after the country code;
 * dates from 1900 to 2099: ISO, day.month.year, day/month/year, and month/day/year where the first can't be
   a month's day; the number of digits of day and month is kept.  Dates with two digits each are linked across all
   layouts but the last, whose pseudonyms again can't be read otherwise; those with single digits are linked
@@ -117,6 +119,8 @@ def card(text: str, key: bytes) -> str | None:
     d = _digits(text)
     if not 13 <= len(d) <= 19 or not luhn(d) or len(set(d)) == 1 or d[0] == "0":
         return None
+    if any(len(g) < 3 for g in re.split("[ -]", text)[:-1]):
+        return None
     n = len(d) - 2
     inner = str(feistel(int(d[1:-1]), 10**n, key, b"card%d" % n)).zfill(n)
     return refill(text, next(x for x in (d[0] + inner + c for c in "0123456789") if luhn(x)))
@@ -161,12 +165,14 @@ def phone(text: str, key: bytes) -> str | None:
     if (n != 10) if plan else not (6 <= n <= 14 and len(d) <= 15 and d[0] != "0"):
         return None
 
-    def valid(v: int) -> bool:
+    def assigned(v: int) -> bool:
         return v // 10**9 > 1 and v // 10**6 % 10 > 1 if plan else v >= 10 ** (n - 1)
 
-    if not valid(int(rest)):
+    kind = assigned(int(rest))
+    if not kind and text[0] not in "+(":
         return None
-    return refill(text, kept + str(walk(int(rest), 10**n, key, b"phone" + code.encode() + b"-%d" % n, valid)))
+    new = walk(int(rest), 10**n, key, b"phone" + code.encode() + b"-%d%d" % (n, kind), lambda v: assigned(v) == kind)
+    return refill(text, kept + str(new).zfill(n))
 
 
 def ipv4(text: str, key: bytes) -> str | None:

@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import struct
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fieldstone.llm import chat, decontam, html, langid, linear, pieces, pii, quality, queries, simhash, sketch, toxicity
-from fieldstone.llm.common import bounded_sample, settle, table
+from fieldstone.llm import common
+from fieldstone.llm.common import bounded_sample, discard, settle, table
 
 WORD = re.compile(r"[^\W_]+")
 LONG = " ".join(f"w{i % 977} of the" for i in range(30_000))
@@ -42,6 +46,30 @@ def test_bounded_sample_is_bounded_and_repeatable(spark):
     assert bounded_sample(rows.limit(0), "id", 5, "k").count() == 0
 
 
+def test_bounded_sample_takes_the_largest_strata(spark):
+    rows = spark.range(1000).withColumn("k", F.when(F.col("id") < 500, "a").when(F.col("id") < 800, "b").when(F.col("id") < 900, "c"))
+    assert {r.k for r in bounded_sample(rows, "id", 10, "k", 3).select("k").distinct().collect()} == {"a", "b", None}
+
+
+def test_no_temporary_folder_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda name, default: default)
+
+    class Cluster:
+        conf = Conf
+        sparkContext = type("C", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster)
+
+
+def test_operators_leave_the_session_as_it_is(spark, awkward):
+    before = dict(spark.conf.getAll)
+    pii.mask_documents(awkward).collect()
+    simhash.components(awkward).collect()
+    assert dict(spark.conf.getAll) == before
+
+
 def test_linear_models_separate():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300)
@@ -68,6 +96,69 @@ def test_toxicity_flags_held_out_rows(spark):
     assert sum(a == 0 and b >= 0.5 for a, b in got) <= 0.02 * len(got)
 
 
+def test_toxicity_query_against_plain_scores(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels, queries.chain_labels())
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, sf_dir).collect()}
+    assert len(got) == docs.count()
+    bucket = lambda s: zlib.crc32(s.encode()) % (1 << toxicity.BITS)
+    for r in docs.collect():
+        words = set(WORD.findall(r.text.lower()))
+        own = {bucket(w) for w in words} | {bucket("^" + w[:4]) for w in words}
+        p = []
+        for c in range(2):
+            x = sum(float(chain.words[c][i]) for i in own) + sum(e * q for e, q in zip(chain.earlier[c], p)) + chain.bias[c]
+            p.append(1 / (1 + np.exp(-x)))
+        assert abs(got[r.doc_id].p_low_quality - p[0]) < 1e-6 and abs(got[r.doc_id].score - p[1]) < 1e-6 and got[r.doc_id].toxic == (got[r.doc_id].score >= 0.5)
+
+
+def test_quality_query_against_plain_scores(spark, sf_dir):
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = quality.train(docs, labels.filter(queries.id_remainder(5) != 0))
+    got = {r.doc_id: r for r in queries.op2_quality(spark, sf_dir).collect()}
+    bucket = lambda s: zlib.crc32(s.encode()) % (1 << quality.BITS)
+
+    def pair(a, b, salt):
+        return ((a * 0x9E3779B97F4A7C15 + b + salt) * 0xD6E8FEB86659FD93 % (1 << 64)) >> (64 - quality.BITS)
+
+    for r in docs.collect():
+        w = r.text.split()
+        ids = [bucket(x) for x in w]
+        shapes = [quality.SAME if i and ids[i] == ids[i - 1] else bucket("\0" + quality.shape(x)) for i, x in enumerate(w)]
+        two = [pair(a, b, 22) for a, b in zip(shapes, shapes[1:])]
+        own = {*ids, *shapes, *two, *(pair(a, b, 11) for a, b in zip(ids, ids[1:])), *(pair(a, b, 33) for a, b in zip(two, two[1:]))}
+        margin = sum(float(model.weights[i]) for i in own) + model.bias
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-6
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_dual_coordinate_descent_finds_the_optimum():
+    rng = np.random.default_rng(5)
+    n, dim, c = 60, 25, 0.7
+    y = rng.integers(0, 2, n)
+    rows = [np.flatnonzero(rng.random(dim) < 0.3) for _ in range(n)]
+    scale = rng.normal(size=dim)
+    w, b = linear.hinge_dual(rows, scale, y, c, epochs=2000)
+    x = np.zeros((n, dim + 1))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, -1] = scale[r], 1
+    sign = 2.0 * y - 1
+    rate = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
+    upper, q, a = c * rate / rate.mean(), (x * sign[:, None]) @ (x * sign[:, None]).T, np.zeros(n)
+    for _ in range(60_000):  # projected gradient on the dual
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, upper)
+    best = (a * sign) @ x
+    assert np.abs(w - best[:-1] * scale).max() < 1e-2 and abs(b - best[-1]) < 1e-2
+
+
+def test_unknown_labels_are_left_out():
+    rows = [np.array([3]), np.array([4])] * 60
+    y = np.array([1.0, 0.0] * 60)
+    known = toxicity.fit_chain(rows, y[:, None], ("t",))
+    more = toxicity.fit_chain(rows + [np.array([3])] * 300, np.append(y, [np.nan] * 300)[:, None], ("t",))
+    assert abs(known.bias[0] - more.bias[0]) < 1e-9 and np.allclose(known.words, more.words)
+
+
 def test_chain_feeds_earlier_probabilities():
     rows = [np.array([3, i % 7 + 10]) if i % 2 else np.array([4, i % 7 + 10]) for i in range(120)]
     first = np.array([i % 2 for i in range(120)])
@@ -125,20 +216,51 @@ def test_chat_json_layouts_are_fingerprinted_by_record(spark):
         '{"instruction":"x","input":"i","output":"y"}': [("user", "x\n\ni"), ("assistant", "y")],
         '{"conversations":[{"from":"human","value":"q"}]}': [("user", "q")],
         '{"prompt":"p","completion":null}': [("user", "p"), ("assistant", "")],
+        '{"system":"s","prompt":"p","response":"r","id":7,"meta":{"prompt":"not this","tags":["a"]}}': [("system", "s"), ("user", "p"), ("assistant", "r")],
+        '{"a":{"prompt":"p"},"completion":"c"}': None,
+        '{"prompt":"p","completion":"c","question":"?"}': None,
+        '{"messages":[]}': [],
+        '{"messages":[{"role":"user","content":"a","name":"n"}],"a b":[1,2.5]}': [("user", "a")],
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"x"},{"type":"text","text":"y"}]},{"role":"assistant","content":"z"}]}': [("user", "xy"), ("assistant", "z")],
+        '{"messages":[{"role":"user","content":[{"text":"x"},{"text":null}]}]}': [("user", "x")],
         '{"zzz":1}': None,
         "no json": None,
+        "[]": None,
     }
-    got = spark.createDataFrame([(k,) for k in cases], "j string").select("j", chat.json_turns(F.col("j")).alias("t")).collect()
-    assert {r.j: r.t and [tuple(x) for x in r.t] for r in got} == cases
-    for name, (paths, mapping) in chat.LAYOUTS.items():
-        if "rows" not in mapping:
-            df = spark.createDataFrame([], chat._ddl(paths))
-            assert chat.fingerprint(chat.field_paths(df.schema)) in chat.MAPPINGS, name
-            assert chat.turns_of(df).count() == 0
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "j string")
+    got = df.select("j", chat.json_turns(F.col("j")).alias("t")).filter("j is not null").collect()
+    assert {r.j: None if r.t is None else [tuple(x) for x in r.t] for r in got} == cases
+    counted = chat.layouts_of(df, "j").collect()
+    assert sum(r.records for r in counted) == len(cases) + 1 and sum(r.records for r in counted if r.layout is None) == sum(v is None for v in cases.values()) + 1
     with pytest.raises(ValueError):
         chat.turns_of(spark.createDataFrame([], "other string"))
 
 
+def test_chat_paths_of_json_are_those_of_the_schema(spark):
+    for text, ddl in (('{"a":{"b":[{"c":"x","d":{"e":1}}]},"f":["y"],"g":[[2]]}', "a struct<b: array<struct<c: string, d: struct<e: int>>>>, f array<string>, g array<array<int>>"), ('{"prompt":"p"}', "prompt string")):
+        got = spark.createDataFrame([(text,)], "j string").select(chat.json_paths(F.try_parse_json("j")).alias("p")).first().p
+        assert sorted(got) == chat.field_paths(spark.createDataFrame([], ddl).schema)
+
+
+def test_chat_tables_in_other_layouts(spark):
+    messages = spark.createDataFrame([(1, [("human", "q"), ("bot", None)]), (2, None), (3, [])], "id int, messages array<struct<role: string, content: string>>")
+    assert {r.id: [tuple(x) for x in r.turns] for r in chat.turns_of(messages, ["id"]).collect()} == {1: [("user", "q"), ("assistant", "")], 2: [], 3: []}
+    fixed = spark.createDataFrame([("i", None, 5)], "instruction string, output string, extra int")
+    assert [[tuple(x) for x in r.turns] for r in chat.turns_of(fixed).collect()] == [[("user", "i"), ("assistant", "")]]
+
+
+def test_chat_awkward_turn_rows(spark):
+    ddl = "conv_id long, turn long, role string, text string, source string, turns string"
+    rows = [(1, 0, "human", "q"), (1, 1, "bot", LONG), (2, 5, "user", "b"), (2, 5, "user", "a"), (2, 5, "user", "a"), (2, 4, "assistant", None), (None, 0, None, "no id"), (None, 1, "assistant", "x")]
+    df = spark.createDataFrame([(*r, "s", "clash") for r in rows], ddl)
+    made = chat.format_conversations(chat.turns_of(df))
+    got = {r.conv_id: r for r in made.select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.masked_text(F.col("segments")).alias("loss")).collect()}
+    assert [tuple(x) for x in got[1].t] == [("human", "q"), ("bot", LONG)] and got[1].loss == ""  # given roles stay
+    assert [tuple(x) for x in got[2].t] == [("assistant", ""), ("user", "a"), ("user", "a"), ("user", "b")]
+    assert [tuple(x) for x in got[None].t] == [("", "no id"), ("assistant", "x")] and got[None].loss == "x"
+    assert chat.format_conversations(chat.turns_of(df.limit(0))).count() == 0
+
+
 def test_chat_query_matches_plain_python(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").collect() + []
     got = {r.conv_id: r for r in queries.op3_chat(spark, sf_dir).collect()}
@@ -274,6 +396,16 @@ def test_small_vocabulary_with_unknowns():
     assert pieces.Coder(pieces.Vocabulary([], list(range(256)), 256)).encode("a") == [0xE2, 0x96, 0x81, 0x61]
 
 
+def test_equal_scores_take_the_longest_last_piece():
+    v = pieces.Vocabulary([(256, "a", -1.0), (257, "aa", -2.0), (258, "aaa", -3.0), (259, "▁", -1.0)], list(range(256)), 260)
+    assert pieces.Coder(v).encode("aaaa") == [259, 256, 258]
+
+
+def test_coding_an_empty_table(spark, awkward, vocabulary):
+    coded = pieces.encode_documents(awkward.limit(0), vocabulary)
+    assert coded.count() == 0 and pieces.decode_documents(coded, vocabulary).count() == 0
+
+
 def test_coding_awkward_rows(spark, awkward, vocabulary):
     coded = pieces.encode_documents(awkward, vocabulary).cache()
     assert coded.columns == ["doc_id", "n_pieces", "pieces", "round_trip"] and coded.count() == len(AWKWARD)
@@ -301,7 +433,7 @@ def brute_leaks(docs, items, least=5, threshold=0.8):
                             n += 1
                         best = max(best, (n, -i, -j))
                 n, i, j = best[0], -best[1], -best[2]
-                if n < least:
+                if n < max(1, min(least, len(w))):
                     break
                 covered += n
                 fi[i : i + n] = [False] * n
@@ -331,6 +463,59 @@ def test_leaks_against_brute_force(spark):
     assert got == brute_leaks(docs, items) and len(got) > 10
 
 
+def test_tiles_are_the_greedy_ones():
+    rng = np.random.default_rng(4)
+    for _ in range(120):
+        kinds = int(rng.integers(1, 5))
+        a, b = (rng.integers(0, kinds, int(rng.integers(1, n))).astype(np.uint64) * np.uint64(decontam.BASE) + np.uint64(9) for n in (30, 45))
+        free_a, free_b, want = np.ones(len(a), bool), np.ones(len(b), bool), []
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            n, i, j = best[0], -best[1], -best[2]
+            if n < min(5, len(a)):
+                break
+            want.append((i, j, n))
+            free_a[i : i + n] = free_b[j : j + n] = False
+        assert decontam.greedy_tiles(a, b) == want
+
+
+def test_repetitive_texts_are_quick():
+    began = time.perf_counter()
+    assert decontam.greedy_tiles(np.full(400, 7, np.uint64), np.full(8000, 7, np.uint64)) == [(0, 0, 400)]
+    assert time.perf_counter() - began < 1
+
+
+def test_common_phrases_lose_no_leak(spark):
+    """A phrase that all items and documents share, items of few words, and rows that share an id or have none."""
+    rng = random.Random(8)
+    phrase = "all rights reserved by the author of this work"
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items = [(i, f"{phrase} {' '.join(word() for _ in range(12 + i))}") for i in range(6)] + [(6, phrase), (7, "zebra quagga"), (8, "unicum"), (9, "one two three")]
+    docs = []
+    for d in range(60):
+        own = items[d % 10][1].split()
+        body = [word() for _ in range(15)]
+        if d % 4 == 0:
+            body += own[len(own) // 2 :] + [word()] + own[: len(own) // 2]
+        elif d % 4 == 1:
+            body = own + body
+        docs.append((d // 2 if d % 7 else None, f"{phrase} {' '.join(body)}"))
+    bench, rows = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_leaks([((d, t), t) for d, t in docs], items)
+    got = decontam.leaks(rows, bench).collect()
+    assert sorted((r.doc_id or -1, r.item_id) for r in got) == sorted((k[0] or -1, i) for k, i in want)
+    bench = bench.filter("item_id <> 6")
+    bad = {k[1] for k, i in brute_leaks([((d, t), t) for d, t in docs], items) if i != 6}
+    kept = decontam.keep_clean(rows, bench).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted((d or -1, t) for d, t in docs if t not in bad) and 5 < len(kept) < 55
+
+
 def test_tiles_never_overlap_and_cover_reordered():
     rng = np.random.default_rng(2)
     for _ in range(50):
@@ -386,6 +571,66 @@ def test_fingerprints_of_edits(spark, docs):
     assert all(same.setdefault(t, got[k].fingerprint) == got[k].fingerprint for k, t in d)
 
 
+def plain_sketch(text):
+    """The k smallest hashes of the shingles, each made of its words' hashes."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in (text or "").lower().split()]
+    hashes = set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", w), seed=h)
+        hashes.add(signed(h))
+    return sorted(hashes)[:128]
+
+
+def plain_fingerprints(rows):
+    """(doc_id, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of (doc_id, text) in order."""
+    text = lambda a: "".join(f"{h & (1 << 64) - 1:016x}" for h in a)
+
+    def near(a, b):
+        union = sorted({*a, *b})[:128]
+        return len({*union} & {*a} & {*b}) / len(union) if union else 1.0
+
+    out = []
+    for i, (k, t) in enumerate(rows):
+        t, b = t or "", rows[(i + 1) % len(rows)][1] or ""
+        m = len(t) // 4
+        e = t[: len(t) - m] + b[:m]
+        s, es, n = plain_sketch(t), plain_sketch(e), plain_sketch(b)
+        out.append((k, hashlib.sha256(e.encode()).hexdigest(), text(s), text(es), round(near(s, es), 9), round(near(s, n), 9)))
+    return out
+
+
+def fingerprint_rows(df):
+    return [(r.doc_id, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in df.collect()]
+
+
+def test_fingerprints_against_plain_ones(spark, docs):
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert sorted(fingerprint_rows(sketch.fingerprints(docs, parts=5))) == sorted(plain_fingerprints(rows))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_fingerprints_of_shared_and_missing_ids(spark, parts):
+    rng = random.Random(parts)
+    text = lambda: " ".join(rng.choices("abcdefghij", k=rng.randint(0, 30)))
+    rows = [(rng.choice((None, 3, 3, 4, *range(5, 25))), text()) for _ in range(90)] + [(3, "the same text of some words")] * 30 + [(None, None), (None, "")]
+    h = dict(spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1] or ""]))
+    key = lambda r: tuple((x is not None, x or 0) if i == 0 else x for i, x in enumerate(r))
+    got = sketch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), parts=parts)
+    assert sorted(fingerprint_rows(got), key=key) == sorted(plain_fingerprints(order), key=key)
+
+
+def test_fingerprints_are_native_and_sketch_once(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/d")
+    plan = sketch.fingerprints(spark.read.parquet(f"{tmp_path}/d"), parts=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    below = plan[plan.rindex("Union") :]
+    assert "xxhash64(lambda" not in below and "transform" not in below  # texts are sketched behind the shuffle
+
+
 def test_sketches_merge_and_estimate(spark):
     a = spark.range(5000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h")).groupBy("g").agg(F.collect_list("h").alias("h"))
     parts = a.select("g", sketch.bottom(F.array_distinct("h")).alias("s")).withColumn("all", F.lit(1))
@@ -482,6 +727,32 @@ def test_links_span_all_pairs(spark, blocks, chunk):
     assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
 
 
+def test_hot_shards_are_cut_until_they_are_small(spark):
+    rng = random.Random(3)
+    points = {rng.getrandbits(40) for _ in range(1500)}  # the upper 24 bits agree: every block mask of them is one hot shard
+    points |= {(p ^ 1 << rng.randrange(40) ^ 1 << rng.randrange(40)) & (1 << 40) - 1 for p in list(points)[:200]}
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
+    parts = simhash.shards(df, blocks=4, chunk=64)
+    sizes = [r[0] for p in parts for r in p.groupBy("shard").count().select("count").collect()]
+    assert len(parts) > 1 and max(sizes) <= 64 and sum(sizes) < 200 * len(points)
+    got = {r.node: r.root for r in simhash.connected(simhash.links(df, blocks=4, chunk=64)).collect()}
+    want = {}
+    for p, c in components_of([(p, p) for p in points]):
+        want.setdefault(c, set()).add(p)
+    have = {}
+    for p in points:
+        have.setdefault(got.get(p, p), set()).add(p)
+    assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values())) and len(want) < len(points)
+
+
+def test_keep_one_of_rows_without_ids(spark):
+    copy, other = "the very same text of seven words", "another text that nobody else has got"
+    rows = [(None, copy), (None, copy), (None, other), (5, "a third text of its own kind here"), (None, "a third text of its own kind here"), (7, "x y z"), (7, "entirely different words under one id")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept if r.doc_id != 7) == [(-1, other), (-1, copy), (5, "a third text of its own kind here")]
+    assert sum(r.doc_id == 7 for r in kept) == 1
+
+
 def test_connected_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100)], "a long, b long")
     assert {r.root for r in simhash.connected(edges).collect()} == {0}
@@ -557,6 +828,8 @@ def test_language_awkward_rows(spark, awkward):
     assert by[1] == by[2] == by[5] == by[6] == langid.UNKNOWN and by[0] in ("en", "de")
     kept = langid.keep_identified(awkward, model)
     assert kept.columns == awkward.columns and kept.filter("doc_id IN (1, 2, 5, 6)").isEmpty()
+    foreign = spark.createDataFrame([(1, "Η γρήγορη αλεπού πηδάει πάνω από το σκυλί"), (2, "plain text here, nothing more of it")], "doc_id long, text string")
+    assert [r.doc_id for r in langid.keep_identified(foreign, model).collect()] == [2]
     empty = langid.train(awkward.limit(0))
     assert {r.said.lang for r in langid.identify(awkward, empty, out="said").collect()} == {langid.UNKNOWN}
     assert langid.keep_identified(awkward.limit(0), model).count() == 0
@@ -565,3 +838,6 @@ def test_language_awkward_rows(spark, awkward):
 def test_settled_tables_can_be_read_again(spark):
     df = settle(spark.range(5), "t")
     assert df.count() == 5 and df.count() == 5
+    discard(df)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.schema("id long").parquet(df._settled_at).count()
