@@ -2,8 +2,10 @@
 
 The automaton reads a text once.  At each position it reports, along its output links, every piece
 that ends there; each such piece relaxes the best score of its end from that of its start.  Following
-the best predecessors back from the end gives the segmentation of the highest total score.  A
-character that no piece covers costs more than any piece and becomes its UTF-8 bytes' pieces.
+the best predecessors back from the end gives the segmentation of the highest total score; of equal ones
+that with the longest last piece, and so on to the front.  A character that no piece covers costs more than any
+piece and becomes its UTF-8 bytes' pieces.  The model file's normalisation rules are not applied, since decoding must
+give back the text, and its user-defined pieces compete by their scores like all others.
 
 Spaces are written as U+2581 and one is put in front, as the model expects.  A U+2581 in the text
 itself is written by byte pieces, so decoding gives back every text exactly.  Where no piece goes on
@@ -57,7 +59,7 @@ class Vocabulary:
 class Coder:
     """Encodes and decodes on one worker."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 100_000):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 300_000):
         import ahocorasick
 
         self.v, self.most, self.seen = vocabulary, remembered, {}
@@ -66,6 +68,7 @@ class Coder:
             self.automaton.add_word(piece, (i, len(piece), score))
         if vocabulary.pieces:
             self.automaton.make_automaton()
+        self.single = {p for _, p, _ in vocabulary.pieces if len(p) == 1}
         self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         text = [b""] * vocabulary.size
         for i, piece, _ in vocabulary.pieces:
@@ -78,6 +81,18 @@ class Coder:
         """The ids of the best segmentation of ``part``; '\\0' stands for a literal U+2581."""
         n, unknown, none = len(part), self.v.unknown, (-1, 1, 0.0)
         score, back, done = [0.0] + [float("-inf")] * n, [none] * (n + 1), 0
+        if self.single.issuperset(part):  # a character's own piece is better than unknown, so nothing is
+            for end, found in self.automaton.iter(part):
+                end += 1
+                s = score[end - found[1]] + found[2]
+                if s > score[end]:
+                    score[end], back[end] = s, found
+            out = []
+            while n:
+                i, size, _ = back[n]
+                out.append(i)
+                n -= size
+            return tuple(reversed(out))
         for end, found in self.automaton.iter(part) if self.v.pieces else ():
             # The automaton has passed all positions up to ``end``: they are final but for an unknown.
             while done < end:
@@ -108,6 +123,8 @@ class Coder:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
+        if self.v.cuts and "  " not in text and text[0] != " " and text[-1] != " " and "\0" not in text and MARK not in text:
+            return self._words(text.split(" "))
         # '\0' can't be both: texts that hold one are encoded by parts around it.
         if "\0" in text:
             pieces = text.split("\0")
@@ -118,19 +135,27 @@ class Coder:
             return out
         return self._marked(MARK + text.replace(MARK, "\0").replace(" ", MARK))
 
+    def _words(self, words: list[str]) -> list[int]:
+        """The pieces of words that one space each sets off: what ``_marked`` gives for them."""
+        seen = self.seen
+        found = list(map(seen.get, words))
+        if None in found:
+            for j, ids in enumerate(found):
+                if ids is None:
+                    if len(seen) >= self.most:
+                        seen.clear()
+                    word = words[j]
+                    found[j] = ids = self.best(MARK + word)
+                    if len(word) <= 64:
+                        seen[word] = ids
+        return list(chain.from_iterable(found))
+
     def _marked(self, text: str) -> list[int]:
         if not self.v.cuts:
             return [*self.best(text)]
-        seen, out = self.seen, []
+        out: list[int] = []
         for part in self.part.findall(text):
-            ids = seen.get(part)
-            if ids is None:
-                if len(seen) >= self.most:
-                    seen.clear()
-                ids = self.best(part)
-                if len(part) <= 64:
-                    seen[part] = ids
-            out += ids
+            out += self._words([part[1:]]) if part[0] == MARK != part[1:2] else self.best(part)
         return out
 
     def decode(self, ids) -> str:
