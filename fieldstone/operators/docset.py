@@ -29,6 +29,11 @@ class DocSet:
             return self.rows.filter(self.cache.translate(stored_names(condition, self.model.elements), self.rows.schema, self.model.id))
         return self.rows.filter(condition if isinstance(condition, Column) else condition(self.rows))
 
+    def matching(self, test: Callable) -> DataFrame:
+        """The rows for which ``test`` holds, a function from a pandas frame of rows to booleans: for conditions that no
+        Column expresses.  It sees one Arrow batch at a time; use ``query`` for what is to reach the scan."""
+        return self.rows.mapInPandas(lambda batches: (b[test(b)] for b in batches), self.rows.schema)
+
     def load(self, id_value) -> DataFrame:
         """At most one row: the one with that id."""
         return self.rows.filter(F.col(self.model.id) == self.model.id_literal(id_value)).limit(1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldstone.functions import metrics
 from fieldstone.operators import attachments, changes, diff
 from fieldstone.operators.docset import DocSet, included_rows, include, missing
-from fieldstone.plans.filters import Regex, not_, translate
+from fieldstone.plans.filters import Regex, not_, operator, translate
 from fieldstone.plans.model import Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,23 @@ def filter_lambda(spark, sf_dir):
     return DocSet(rows, Model("customer", rows.schema, "c_custkey")).query(lambda d: d["c_acctbal"] * 2 > 15000).select("c_custkey")
 
 
+@query("filter_by_batches", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey % 3 = 1")
+def filter_by_batches(spark, sf_dir):
+    """A vectorised Python predicate on whole batches."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return DocSet(rows, Model("customer", rows.schema, "c_custkey")).matching(lambda b: (b["c_acctbal"] > 0) & (b["c_custkey"] % 3 == 1)).select("c_custkey")
+
+
+@operator("$ends")
+def _ends(t, value, negated):
+    """An own operator: the value ends with a text."""
+    return t.column.isNull() | ~t.column.endswith(value) if negated else t.column.endswith(value)
+
+
+filtered("filter_own_operator", {"c_name": {"$ends": "7"}}, "suffix(c_name, '7')")
+filtered("filter_own_operator_negated", {"$nor": [{"seg": {"$ENDS": "Y"}}]}, "NOT coalesce(suffix(seg, 'Y'), false)")
+
+
 @query("filter_complement", "SELECT CAST(count(*) AS BIGINT) AS rows_in_one FROM customer")
 def filter_complement(spark, sf_dir):
     """Every row satisfies a filter or its complement, and none both."""

@@ -12,6 +12,7 @@ from fieldstone.functions.metrics import Metrics
 from fieldstone.operators.changes import ConcurrencyError
 from fieldstone.operators.constraints import Index, UniqueError
 from fieldstone.operators.session import Session
+from fieldstone.sources.catalog import Context
 from fieldstone.sources.store import StaleSnapshotError, Store, shared_root
 
 from .model import Conventions, Model
@@ -216,3 +217,66 @@ def session_attachments(spark, sf_dir):
     with Session(s.store, []) as t:
         t.attachments("texts").delete_all(blobs.select(F.concat_ws("/", "entity_id", "name").alias("filename")))
     return Session(s.store, []).attachments("texts").all().select(F.col("metadata.EntityId").alias("entity"), F.decode("data", "UTF-8").alias("body"))
+
+
+@query("session_attach", f"SELECT c_custkey, CASE c_custkey WHEN 12 THEN 'attached' ELSE c_name END AS c_name, Version + CASE c_custkey WHEN 12 THEN 1 ELSE 0 END AS Version FROM {CUSTOMER}")
+def session_attach(spark, sf_dir):
+    """A row that came from elsewhere is attached: only its later edit is saved."""
+    s = opened(spark, sf_dir)
+    known = s.base("customers").filter("c_custkey IN (12, 13)").collect()
+    for row in known:
+        s.attach("customers", row.asDict())
+    s.tracked("customers", 12)["c_name"] = "attached"
+    s.save()
+    return another(s).rows("customers").select("c_custkey", "c_name", "Version")
+
+
+@query("session_best_effort", f"SELECT c_custkey, 'saved' AS name FROM {CUSTOMER} UNION ALL SELECT -1 - n_nationkey, n_name FROM nation")
+def session_best_effort(spark, sf_dir):
+    """Without atomic publishing the first collection is saved although the second one's unique index is broken."""
+    s = opened(spark, sf_dir, Conventions(atomic=False), indexes=[Index("nations", ("n_name",), unique=True)])
+    s.update("customers", s.base("customers").withColumn("c_name", F.lit("saved")))
+    s.insert("nations", s.base("nations").withColumn("n_nationkey", F.col("n_nationkey") + 1000))
+    try:
+        s.save()
+    except UniqueError:
+        after = another(s)
+        return after.rows("customers").select("c_custkey", F.col("c_name").alias("name")).union(after.rows("nations").select(-1 - F.col("n_nationkey"), "n_name"))
+    raise AssertionError("the save went through")
+
+
+@query("session_ignored_fields", f"SELECT c_custkey, CASE c_custkey WHEN 21 THEN 0.5 ELSE c_acctbal END AS c_acctbal, c_name FROM {CUSTOMER}")
+def session_ignored_fields(spark, sf_dir):
+    """Edits of untracked fields are not saved."""
+    s = opened(spark, sf_dir)
+    t = Session(s.store, [Model("customers", s.models["customers"].schema, "c_custkey", ignored=("c_name",))])
+    t.load("customers", 20)["c_name"] = "never"
+    t.load("customers", 21)["c_acctbal"] = 0.5
+    t.save()
+    return another(s).rows("customers").select("c_custkey", "c_acctbal", "c_name")
+
+
+@query("session_made_ids", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'orders/' ELSE CAST(o_orderkey AS VARCHAR) END AS prefix, true AS same FROM orders")
+def session_made_ids(spark, sf_dir):
+    """Ids made while saving are the ones that are stored: two reads give the same."""
+    rows = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey").cast("string")).alias("Id"), "o_orderkey")
+    s = Session(Store(spark, shared_root(spark)).temporary(), [Model("orders", rows.schema)])
+    s.insert("orders", rows)
+    s.save()
+    again = another(s).rows("orders").select("o_orderkey", F.col("Id").alias("again"))
+    prefix = F.when(F.col("o_orderkey") % 3 == 0, F.substring("Id", 1, 7)).otherwise(F.col("Id"))
+    return s.rows("orders").join(again, "o_orderkey").select("o_orderkey", prefix.alias("prefix"), (F.col("Id") == F.col("again")).alias("same"))
+
+
+@query("context_files_and_includes", "SELECT s_suppkey, n_name AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2 WHERE s_acctbal > 0")
+def context_files_and_includes(spark, sf_dir):
+    """Collections by name, one of them read through another connector, and an include by the model's reference."""
+    copy = f"{shared_root(spark)}-nation"
+    Store(spark, copy).temporary()
+    read(spark, sf_dir, "nation").filter("n_regionkey <> 2").write.json(copy)
+    ctx = Context(spark)
+    ctx.from_files(copy, "n_nationkey", name="nations", format="json")
+    suppliers = read(spark, sf_dir, "supplier")
+    ctx.register(Model("suppliers", suppliers.schema, "s_suppkey", references={"s_nationkey": "nations"}), lambda spark: read(spark, sf_dir, "supplier"))
+    rows = ctx.query("suppliers", {"s_acctbal": {"$gt": 0}}).include("s_nationkey").rows()
+    return rows.select("s_suppkey", F.get("_included_s_nationkey", F.lit(0))["n_name"].alias("nation"))
