@@ -225,42 +225,44 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, text: str, doc_id: str, radius: int, more) -> DataFrame:
-    """Per row: doc_id, fp, k (a hash of the text), root (of the component's fingerprints); settled."""
+    """Per row: doc_id, fp, k (a hash of the text), and best, the least ``_place`` of the component; settled.  Components are
+    gathered per fingerprint, so rows are joined by theirs alone."""
     found = [F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp"), F.xxhash64(text).alias("k")]
     prints = settle(docs.select(*found), "simhash")
-    points = settle(prints.select("fp").distinct(), "points")
+    points = settle(prints.groupBy("fp").agg(F.min(_place()).alias("best")), "points")
     shared = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
     same = prints.join(shared, "doc_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    first = edges = settle(links(points, radius).union(same), "links")
+    first = edges = settle(links(points.select("fp"), radius).union(same), "links")
     if more:
         nodes = prints.groupBy("k").agg(F.min("fp").alias("node"))
         edges = more(docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text")), nodes, edges)
     labels = connected(edges)
-    discard(points, first, edges)
-    out = settle(prints.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "fp", "k", F.coalesce("root", "fp").alias("root")), "labelled")
-    discard(prints, labels)
+    rooted = points.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    of = settle(rooted.select("fp", "root").join(best, "root").select("fp", "best"), "components")
+    out = settle(prints.join(of, "fp").select("doc_id", "fp", "k", "best"), "labelled")
+    discard(prints, points, first, edges, labels, of)
     return out
 
 
+def _place() -> Column:
+    """The order of rows: by id, those without one last, then by the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+
+
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, more=None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (long), component_id, the smallest doc_id reachable.
     ``more``, such as ``overlap.links``, adds links: from texts, their fingerprints and the links found so far."""
-    found = _labelled(docs, text, doc_id, radius, more)
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = settle(found.join(least, "root").select("doc_id", "fp", "component_id"), "components")
-    discard(found)
-    return out
+    return _labelled(docs, text, doc_id, radius, more).select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, more=None) -> DataFrame:
     """One row of each component, with the columns of ``docs``: the one with the smallest id, of rows that share this id,
     and of components without ids, the one with the smallest text hash; of equal ones any."""
     found = _labelled(docs, text, doc_id, radius, more)
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
-    best = found.groupBy("root").agg(F.min(place).alias("best"))
     key, k, n = fresh(docs, "key"), fresh(docs, "k"), fresh(docs, "n")
-    rows = found.groupBy("root", "doc_id", "k").agg(F.count(F.lit(1)).alias(n)).join(best, "root")
-    rows = rows.select(F.col("doc_id").alias(key), F.col("k").alias(k), n, (F.col("best") == place).alias("stays"))
+    rows = found.groupBy("best", "doc_id", "k").agg(F.count(F.lit(1)).alias(n))
+    rows = rows.select(F.col("doc_id").alias(key), F.col("k").alias(k), n, F.col("best").eqNullSafe(_place()).alias("stays"))
     lost = settle(rows.filter("not stays").select(key, k), "dropped")
     again = settle(rows.filter(F.col("stays") & (F.col(n) > 1)).select(key, k), "repeated")
     discard(found)
