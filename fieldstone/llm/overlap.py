@@ -5,8 +5,8 @@ and digits; a text of fewer words is one shingle) have a Jaccard similarity of a
 
 1. Candidates.  Of two such sets of n and m shingles each holds ``least`` of the other's, so in any one
    order of all shingles they share one among the first ``n - ceil(least * n) + 1`` of each.  Only these are
-   dealt out.  Shingles frequent in a bounded sample come last in the order, so that passages many
-   texts share are seldom dealt.
+   dealt out.  Frequent shingles, counted over all texts, come last in the order, so that passages many
+   texts share are dealt only where little else is in a text.
 2. Filter.  A text's parity bits (one per shingle, at least) differ from another's in no more places than the
    sets do, so pairs that differ in more than a Jaccard similarity of ``least`` allows are dropped.
 3. Check.  The remaining pairs' similarity is computed from their texts.
@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, discard, in_slices, settle
+from .common import discard, in_slices, settle
 from .decontam import WordHashes, rolling
 from .simhash import connected
 
 LEAST = 0.8
 WIDTH = 5
-SAMPLE = 10_000  # texts that tell frequent shingles
-FREQUENT = 100_000  # frequent shingles told, at most
+TOGETHER = 1 << 21  # shingles of texts that are counted together
+FREQUENT = 100_000  # frequent shingles told apart, at most
 FLUSH = 1 << 17
 
 
@@ -67,16 +67,30 @@ def parity_distance(a: bytes, b: bytes) -> int:
 
 
 def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that two or more of a bounded sample of texts hold, sorted, and their ranks from 1, the most frequent last."""
-
-    @F.arrow_udf("array<long>")
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = WordHashes()
-        for some in in_slices(batches):
-            yield pa.array([shingles(known, t).view(np.int64) for t in some], pa.list_(pa.int64()))
-
-    held = bounded_sample(texts, "k", SAMPLE).dropDuplicates(["k"]).select(F.explode(of("text")).alias("h"))
-    top = held.groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
+    """The most frequent shingles, sorted, and their ranks from 1, the most frequent last.  Counts are over all texts, and
+    leave out what only one of some thousand texts read together holds; copies read together count once."""
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sets, texts, size = WordHashes(), [], set(), 0
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
+        for k, some in ((k, t) for batch in batches for k, t in zip(in_slices([batch.column(0)]), in_slices([batch.column(1)]))):
+            for key, text in zip(k, some):
+                if key not in texts:
+                    texts.add(key)
+                    sets.append(shingles(known, text))
+                    size += len(sets[-1])
+            if size > TOGETHER:
+                yield counted()
+                sets, texts, size = [], set(), 0
+        if sets:
+            yield counted()
+
+    held = texts.select("k", "text").mapInArrow(repeated, "h long, n long")
+    top = held.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     hashes = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
@@ -144,9 +158,9 @@ def _paired(entries: DataFrame, least: float, every: bool) -> DataFrame:
     return keyed.select("token", "k", "n", "label").mapInArrow(search, "a long, b long, la long, lb long").distinct()
 
 
-def links(texts: DataFrame, nodes: DataFrame, edges: DataFrame, least: float = LEAST) -> DataFrame:
-    """From texts (k, text), the node of each k (k, node) and edges between nodes (a, b): edges that
-    span the same components as the given ones and all near copies together."""
+def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float = LEAST) -> DataFrame:
+    """From texts (k, text), the node of each k (k, node) and the roots of nodes' components (node, root), of all but single
+    ones: the roots after all near copies are joined, too.  Discards ``names``."""
     told = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     @F.arrow_udf("n int, first array<long>, parity binary")
@@ -179,16 +193,17 @@ def links(texts: DataFrame, nodes: DataFrame, edges: DataFrame, least: float = L
     sets = settle(sets.join(nodes, "k").select("k", "node", "s.*"), "sets")
     side = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     for every in (False, True):
-        names = connected(edges)
-        named = sets.join(names.toDF("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node"))
+        named = sets.join(names, "node", "left").withColumn("label", F.coalesce("root", "node"))
         entries = named.select(F.explode("first").alias("token"), "k", F.col("n").cast("long").alias("n"), "label")
         pairs = settle(_paired(entries, least, every), "pairs")
         near = settle(pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be("na", "pa", "nb", "pb")).select("a", "b", "la", "lb"), "near")
         keys = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
         held = settle(texts.join(keys, "k", "left_semi").dropDuplicates(["k"]), "held")
         whole = near.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b")
-        more = whole.filter(alike("ta", "tb")).select("la", "lb")
-        last, edges = edges, settle(names.select("node", "root").union(more).toDF("a", "b"), "links")
-        discard(names, pairs, near, held, *([last] if every else []))
+        found = settle(whole.filter(alike("ta", "tb")).select("la", "lb").distinct(), "found")
+        if not found.isEmpty():
+            last, names = names, connected(names.union(found).toDF("a", "b"))
+            discard(last)
+        discard(pairs, near, held, found)
     discard(sets)
-    return edges
+    return names

@@ -198,27 +198,29 @@ def links(points: DataFrame, radius: int = RADIUS, blocks: int | None = None, ch
     return keyed.select("grp", "fp").mapInArrow(search, "a long, b long")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node u has one edge (u, v), and no v is such a node."""
+    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+    inner = edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").select("u")
+    return several.union(inner).isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds; every round is a join and two grouped minima,
-    written to the shared folder before the next, as is the result."""
+    Alternating large-star and small-star rounds until all edges lead to roots; every round is a join and two grouped
+    minima, written to the shared folder before the next, as is the result."""
     now = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    last = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not mark[0] or mark == last:
-            break
-        last = mark
+    while not _stars(now):
         both = now.union(now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         after = settle(small, "edges")
         discard(now)
         now = after
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    roots = now.toDF("node", "root")
     out = settle(roots.union(roots.select("root", "root").distinct()), "connected")
     discard(now)
     return out
@@ -232,16 +234,15 @@ def _labelled(docs: DataFrame, text: str, doc_id: str, radius: int, more) -> Dat
     points = settle(prints.groupBy("fp").agg(F.min(_place()).alias("best")), "points")
     shared = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
     same = prints.join(shared, "doc_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    first = edges = settle(links(points.select("fp"), radius).union(same), "links")
+    labels = connected(links(points.select("fp"), radius).union(same))
     if more:
         nodes = prints.groupBy("k").agg(F.min("fp").alias("node"))
-        edges = more(docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text")), nodes, edges)
-    labels = connected(edges)
+        labels = more(docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("text")), nodes, labels)
     rooted = points.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = rooted.groupBy("root").agg(F.min("best").alias("best"))
     of = settle(rooted.select("fp", "root").join(best, "root").select("fp", "best"), "components")
     out = settle(prints.join(of, "fp").select("doc_id", "fp", "k", "best"), "labelled")
-    discard(prints, points, first, edges, labels, of)
+    discard(prints, points, labels, of)
     return out
 
 
@@ -252,7 +253,8 @@ def _place() -> Column:
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, more=None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (long), component_id, the smallest doc_id reachable.
-    ``more``, such as ``overlap.links``, adds links: from texts, their fingerprints and the links found so far."""
+    ``more``, such as ``overlap.joined``, joins components by other links: from texts, their fingerprints and the
+    components' roots."""
     return _labelled(docs, text, doc_id, radius, more).select("doc_id", "fp", F.col("best.doc_id").alias("component_id"))
 
 
