@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of every component of near copies: fingerprints within the radius, or five-word shingles of a
     Jaccard similarity of 0.8 or more.  It is the one with the smallest id; of rows that share it, or of components
     without ids, the one with the smallest text hash.  Texts without words are copies of one another."""
-    return simhash.keep_one(docs, more=overlap.links)
+    return simhash.keep_one(docs, more=overlap.joined)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
