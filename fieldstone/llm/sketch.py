@@ -97,18 +97,23 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-RANGE_BYTES, TASK_BYTES = 64 << 20, 256 << 20  # of text in a window, and in a task
+RANGE_BYTES, TASK_BYTES = 512 << 20, 1 << 30  # of text in a window, which spills, and in a task
+
+
+def constants(values: list, kind: str) -> Column:
+    """An array of constants; one literal, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
 def placed(rows: DataFrame, parts: int, hot: list[tuple[int | None, int]]) -> DataFrame:
     """``rows`` (doc_id, h, ...) with ``range``: numbers that rise with (doc_id, h), nulls first, of at most about ``parts``
     ranges of as many ids each.  ``hot`` ids with many rows are cut by h into as many ranges as are given beside them."""
     q = [i / parts for i in range(1, parts)] or [0.5]
-    ids = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, q)), F.lit(100 * parts)).alias("q")).first()[0]
+    ids = rows.agg(F.percentile_approx("doc_id", constants(q, "double"), F.lit(max(10_000, 10 * parts))).alias("q")).first()[0]
     own = [i for i, _ in hot if i is not None]
     bounds = sorted({*(ids or []), *own, *(i + 1 for i in own)})
     step = max(1, int(len(bounds) ** 0.5))
-    fine, coarse = F.array(*map(F.lit, bounds)).cast("array<bigint>"), F.array(*map(F.lit, bounds[::step])).cast("array<bigint>")
+    fine, coarse = constants(bounds, "bigint"), constants(bounds[::step], "bigint")
 
     def below(array: Column, key: Column) -> Column:
         return F.size(F.filter(array, lambda b: b <= key))
