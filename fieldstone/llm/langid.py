@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: ByteCnn, text: str = "text", out: str | Non
     return docs.withColumn(out or fresh(docs, "lang_pred"), predictor(model)(F.col(text)))
 
 
-def keep_identified(docs: DataFrame, model: ByteCnn, least: float = 0.2) -> DataFrame:
+def keep_identified(docs: DataFrame, model: ByteCnn, least: float = 0.1) -> DataFrame:
     """The rows whose text has a language that the network tells: its score is above that of a guess among the
     learned languages by at least ``least`` of what is left to 1.  The columns are those of ``docs``."""
     name, guess = fresh(docs, "lang_pred"), 1 / len(model.langs) if len(model.langs) > 1 else 0.0
