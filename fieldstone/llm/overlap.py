@@ -11,8 +11,10 @@ and digits; a text of fewer words is one shingle) have a Jaccard similarity of a
    sets do, so pairs that differ in more than a Jaccard similarity of ``least`` allows are dropped.
 3. Check.  The remaining pairs' similarity is computed from their texts.
 
-Pairs already in one component need no link.  A first round tries each dealt shingle's shortest text with
-the others, which is linear; the second tries all pairs of texts that are still in different components.
+Pairs already in one component need no link.  A first round deals each text by ``MINIMA`` minima of hashes of its
+shingles, which two near copies seldom all differ in, and tries the shortest text of each with the others: that is
+linear, and joins most of what belongs together.  The second deals the first shingles as above and tries all pairs of
+texts that are still in different components.
 
 Defined results: null and empty texts have no shingles and are not linked here; equal texts are one
 text; a shingle counts once however often it is repeated.
@@ -36,6 +38,7 @@ WIDTH = 5
 TOGETHER = 1 << 21  # shingles of texts that are counted together
 FREQUENT = 100_000  # frequent shingles told apart, at most
 FLUSH = 1 << 17
+MINIMA = 6
 
 
 def shingles(known: WordHashes, text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -53,6 +56,16 @@ def first_shingles(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray, le
     return found[np.argsort(place, kind="stable")][: len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1]
 
 
+MIXERS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64) | 1 for j in range(1, MINIMA + 1)], np.uint64)
+
+
+def minima(found: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each mixer."""
+    mixed = found[None, :] * MIXERS[:, None]
+    mixed ^= mixed >> np.uint64(31)
+    return (mixed * np.uint64(0xD6E8FEB86659FD93)).min(axis=1)
+
+
 def parity(found: np.ndarray) -> bytes:
     """As many bits as shingles, rounded up to a power of two of at least 64: bit b says if an odd number of hashes end in b."""
     bits = max(64, 1 << (len(found) - 1).bit_length())
@@ -67,7 +80,7 @@ def parity_distance(a: bytes, b: bytes) -> int:
 
 
 def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their ranks from 1, the most frequent last.  Counts are over all texts, and
+    """The most frequent shingles, at most ``FREQUENT``, sorted, and their ranks from 1, the most frequent last.  Counts are over all texts, and
     leave out what only one of some thousand texts read together holds; copies read together count once."""
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +103,15 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield counted()
 
     held = texts.select("k", "text").mapInArrow(repeated, "h long, n long")
-    top = held.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    held = settle(held.groupBy("h").agg(F.sum("n").alias("n")).withColumn("size", F.floor(8 * F.log2("n")).cast("int")), "frequent")
+    least, room = None, FREQUENT
+    for size, n in sorted(held.groupBy("size").count().collect(), reverse=True):  # some hundred sizes at most
+        room -= n
+        if room < 0:
+            break
+        least = size
+    top = held.filter(F.col("size") >= least if least is not None else F.lit(False)).select("h", "n").toPandas().sort_values(["n", "h"], ascending=[False, True])
+    discard(held)
     hashes = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
@@ -163,14 +184,15 @@ def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float =
     ones: the roots after all near copies are joined, too.  Discards ``names``."""
     told = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
-    @F.arrow_udf("n int, first array<long>, parity binary")
+    @F.arrow_udf("n int, first array<long>, minima array<long>, parity binary")
     def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordHashes()
         for some in in_slices(batches):
             sets = [shingles(known, t) for t in some]
             first = [first_shingles(s, *told.value, least).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([parity(s) if len(s) else b"" for s in sets], pa.binary())]
-            yield pa.StructArray.from_arrays(columns, ["n", "first", "parity"])
+            least_of = [minima(s).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, least_of)]
+            yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()), *lists, pa.array([parity(s) if len(s) else b"" for s in sets], pa.binary())], ["n", "first", "minima", "parity"])
 
     @F.arrow_udf("boolean")
     def may_be(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -194,7 +216,7 @@ def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float =
     side = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     for every in (False, True):
         named = sets.join(names, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        entries = named.select(F.explode("first").alias("token"), "k", F.col("n").cast("long").alias("n"), "label")
+        entries = named.select(F.explode("first" if every else "minima").alias("token"), "k", F.col("n").cast("long").alias("n"), "label")
         pairs = settle(_paired(entries, least, every), "pairs")
         near = settle(pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be("na", "pa", "nb", "pb")).select("a", "b", "la", "lb"), "near")
         keys = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
