@@ -264,12 +264,16 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius
     found = _labelled(docs, text, doc_id, radius, more)
     key, k, n = fresh(docs, "key"), fresh(docs, "k"), fresh(docs, "n")
     rows = found.groupBy("best", "doc_id", "k").agg(F.count(F.lit(1)).alias(n))
-    rows = rows.select(F.col("doc_id").alias(key), F.col("k").alias(k), n, F.col("best").eqNullSafe(_place()).alias("stays"))
-    lost = settle(rows.filter("not stays").select(key, k), "dropped")
+    rows = rows.select(F.col("doc_id").alias(key), F.col("k").alias(k), n, F.col("best").eqNullSafe(_place()).alias("stays"), F.coalesce(F.col("doc_id") != F.col("best.doc_id"), F.lit(False)).alias("whole"))
+    # All rows of a lost id go; of an id that stays, and of rows without one, those with another text.
+    ids = settle(found.filter(F.col("doc_id") != F.col("best.doc_id")).select(F.col("doc_id").alias(key)).distinct(), "dropped")
+    lost = settle(rows.filter(~F.col("stays") & ~F.col("whole")).select(key, k), "dropped-texts")
     again = settle(rows.filter(F.col("stays") & (F.col(n) > 1)).select(key, k), "repeated")
     discard(found)
     at = lambda t: docs[doc_id].eqNullSafe(t[key]) & (F.xxhash64(docs[text]) == t[k])
-    kept = docs.join(lost, at(lost), "left_anti")
+    kept = docs.join(ids, docs[doc_id] == ids[key], "left_anti")
+    if not lost.isEmpty():
+        kept = kept.join(lost, at(lost), "left_anti")
     if again.isEmpty():
         return kept
     twice = docs.join(again, at(again), "left_semi").groupBy(F.col(doc_id).alias(key), F.xxhash64(text).alias(k)).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias(n))
