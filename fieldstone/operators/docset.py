@@ -48,8 +48,9 @@ def include(roots: DataFrame, field: str, foreign: DataFrame, foreign_id: str) -
 
     A left outer equi-join: roots without a match, and with a null reference, get an empty array.
     The engine chooses broadcast or shuffle by the true size of the foreign side.  An array of
-    references matches several rows, ordered by id: each distinct array is resolved once, by joining its items,
-    and then joined with its roots."""
+    references matches several rows, ordered by id: each distinct set of references is resolved once, by joining its items,
+    and then joined with its roots.  Both sides compute the roots, so sets are compared by their sorted items: a shuffle
+    may collect an array in another order each time."""
     name = f"_included_{field}"
     row = F.struct(*[F.col(c) for c in foreign.columns])
     of = find_field(roots.schema, field)
@@ -60,9 +61,10 @@ def include(roots: DataFrame, field: str, foreign: DataFrame, foreign_id: str) -
     if not isinstance(of.dataType, T.ArrayType):
         out = roots.join(right, roots[of.name] == right["__id"], "left")
         return out.withColumn(name, F.when(F.col("__id").isNotNull(), F.array("__row")).otherwise(none)).drop("__id", "__row")
-    wanted = roots.select(F.col(of.name).alias("__refs")).distinct().select("__refs", F.explode(F.array_distinct("__refs")).alias("__ref"))
+    items = F.sort_array(F.array_distinct(F.array_compact(roots[of.name])))
+    wanted = roots.select(items.alias("__refs")).distinct().select("__refs", F.explode("__refs").alias("__ref"))
     got = wanted.join(right, wanted["__ref"] == right["__id"]).groupBy("__refs").agg(F.collect_list(F.struct("__id", "__row")).alias("__all"))
-    out = roots.join(got, roots[of.name] == got["__refs"], "left")
+    out = roots.join(got, items == got["__refs"], "left")
     by_id = F.transform(F.sort_array("__all"), lambda x: x["__row"]) if _sortable(right.schema["__row"].dataType) else None
     if by_id is None:
         by_id = F.transform(F.array_sort("__all", lambda a, b: F.when(a["__id"] < b["__id"], -1).when(a["__id"] > b["__id"], 1).otherwise(0)), lambda x: x["__row"])
