@@ -306,6 +306,9 @@ def variant(page: str, donor: str, rng: np.random.Generator, headed: bool = True
         page = re.sub(r"(<h1[^>]*>)([^<]+)", lambda m: m[1] + " ".join(m[2].split()[: pick(1, 2, 4)]), page)
     if rng.random() < 0.15:  # a short article
         page = re.sub(r"(<article[^>]*>.*?<p>.*?</p>).*?</article>", r"\1</article>", page, count=1, flags=re.S)
+    if rng.random() < 0.35:  # one of a few words
+        few = pick(15, 40, 80)
+        page = re.sub(rf"(<article[^>]*>.*?<p>)([^<]{{0,{few}}})[^<]*(</p>)?.*?</article>", r"\1\2\3</article>", page, count=1, flags=re.S)
     if rng.random() < 0.3:
         page = re.sub(r"(<article[^>]*>)\s*(<h1.*?</h1>)", r"\1<header>\2</header>", page, count=1, flags=re.S)
     inner = pick("", comments, notice, form, side)

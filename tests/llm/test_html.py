@@ -50,3 +50,17 @@ def test_layouts_by_hand(spark):
         a, b = Counter(html.main_text(read, html.decode(read.parent, logs.tolist())).split()), Counter(article.split())
         given, got, both = given + b.total(), got + a.total(), both + (a & b).total()
     assert both >= 0.97 * got and both >= 0.9 * given
+
+
+def test_articles_of_a_few_words(spark):
+    """Every page's whole article is found, also where it is one short line."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    model = html.train(pages)
+    short = 0
+    for (source,) in pages.select("html").collect():
+        read = html.parse(source)
+        logs = html.log_probabilities((model.feature, model.limit, model.leaf, model.prior), html.features(read))
+        want = html.main_text(read, html.teacher(read).tolist())
+        short += len(want) < 100
+        assert html.main_text(read, html.decode(read.parent, logs.tolist())) == want
+    assert short
