@@ -8,6 +8,8 @@ if the batch has this column, else the longest, of equally long ones the one wit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,13 @@ def file_name(entity_id: Column, name: Column) -> Column:
     return F.concat(entity_id.cast("string"), F.lit("/"), name)
 
 
-def one_per_name(blobs: DataFrame) -> DataFrame:
-    """The blobs (entity_id, name, data, content_type) that are stored, one per document and name.  Only
-    blobs whose name is repeated are shuffled."""
+def one_per_name(blobs: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda names: names) -> DataFrame:
+    """The blobs (entity_id, name, data, content_type) that are stored, one per document and name.  Only blobs whose name is
+    repeated are shuffled, if ``settle`` writes these names, so that the planner knows that they are few."""
     by = ["entity_id", "name"]
     size = F.coalesce(F.length("data"), F.lit(0))
     order = F.col("seq") if "seq" in blobs.columns else F.struct(size, F.xxhash64("data"), F.xxhash64("content_type"))
-    again = blobs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*by)
+    again = settle(blobs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*by))
     last = blobs.join(again, by, "left_semi").groupBy(*by).agg(F.max_by(F.struct("data", "content_type"), order).alias("__b"))
     return blobs.join(again, by, "left_anti").select(*by, "data", "content_type").unionByName(last.select(*by, "__b.data", "__b.content_type"))
 

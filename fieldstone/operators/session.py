@@ -50,6 +50,7 @@ class Staged:
         self.known: dict[Any, tuple[Entity, Entity | None]] = {}  # entity, snapshot (None: untracked)
         self.blobs: list[tuple[str, DataFrame]] = []  # of attachments: what is stored, under which token
         self.names: list[DataFrame] = []  # and the names that go or are replaced
+        self.fresh = 0  # how many of the inserts hold only ids made for them, each once
 
     def touched(self) -> bool:
         return bool(self.deletes or self.inserts or self.updates or self.added or self.removed or self.dirty())
@@ -274,8 +275,10 @@ class Session:
             updates.append(self._local([(*(e.get(c) for c in names), self._seq + 1, changed) for e, changed in dirty.values()], model, [seq, partial]))
         if s.removed:
             deletes.append(self.spark.createDataFrame([(k,) for k in s.removed], T.StructType([T.StructField(model.id, model.schema[model.id].dataType)])))
-        merged = (reduce(DataFrame.unionByName, parts) if parts else None for parts in (deletes, inserts, updates))
-        return ch.resolve(*merged, model.id)
+        gone, added, changed = (reduce(DataFrame.unionByName, parts) if parts else None for parts in (deletes, inserts, updates))
+        if added is not None and changed is None and len(inserts) == s.fresh:
+            return ch.ChangeSet(gone if gone is None else gone.distinct(), added.drop(ch.SEQ), None)  # nothing to compare, so nothing is shuffled
+        return ch.resolve(gone, added, changed, model.id)
 
     def _view(self, name: str) -> DataFrame:
         model = self._model(name)
@@ -307,7 +310,10 @@ class Session:
                     failed = ch.conflicts(base, changes.updates, model.id, version).select(model.id)
                     if not failed.isEmpty():
                         raise ch.ConcurrencyError(self.store.park(failed, []), model.id)  # stays readable after the save
-                after = ch.apply(changes.touched(base, model.id) if entry else base, changes, model.id, version, self.conventions.strict_insert)
+                strict = self.conventions.strict_insert
+                # Deleted and inserted ids replace their rows, so only updates, and the check of strict inserts, read these.
+                needed = changes.touched(base, model.id) if changes.updates is not None or (strict and changes.inserts is not None) else self.spark.createDataFrame([], base.schema)
+                after = ch.apply(needed if entry else base, changes, model.id, version, strict)
                 staged[name] = self.store.stage(name, after, model.id, entry, changes.deletes)
                 self.metrics.add("save_rows", staged[name].pop("rows"))
                 unique = [i for i in self.indexes if i.collection == name and i.unique]
@@ -351,11 +357,12 @@ class SessionAttachments:
 
     def store(self, entity_id: Any, name: str, data: bytes | None, content_type: str | None = None) -> None:
         """Stages one blob, in place of one of the same name."""
-        self.store_all(self.session.spark.createDataFrame([(str(entity_id), name, None if data is None else bytearray(data), content_type)], at.BLOBS))
+        blobs = self.session.spark.createDataFrame([(str(entity_id), name, None if data is None else bytearray(data), content_type)], at.BLOBS)
+        self._stage(blobs.select(at.file_name(F.col("entity_id"), F.col("name")).alias("filename")), blobs)
 
     def store_all(self, blobs: DataFrame) -> None:
         """Stages blobs (entity_id, name, data, content_type) of any number, in place of those of the same names."""
-        blobs = at.one_per_name(blobs)
+        blobs = at.one_per_name(blobs, lambda names: self.session.store.park(names, []))
         self._stage(blobs.select(at.file_name(F.col("entity_id"), F.col("name")).alias("filename")), blobs)
 
     def delete(self, entity_id: Any, name: str) -> None:
@@ -379,6 +386,7 @@ class SessionAttachments:
         chunks.deletes = [self.session.base(self.chunks).join(gone.toDF("files_id"), "files_id", "left_semi").select("_id")]
         files.inserts = [at.files_of(b, token=t).withColumn(ch.SEQ, F.lit(i)) for i, (t, b) in enumerate(files.blobs)]
         chunks.inserts = [at.chunks_of(b, token=t).withColumn(ch.SEQ, F.lit(i)) for i, (t, b) in enumerate(files.blobs)]
+        files.fresh = chunks.fresh = len(files.blobs)
 
     def get(self, entity_id: Any, name: str) -> bytes:
         """One attachment; FileNotFoundError if there is none."""

@@ -374,3 +374,29 @@ def test_stream_takes_the_same_predicates(spark, tmp_path):
     q = stream.filter(translate({"Version": {"$gt": 1}}, PERSON)).writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows_of(spark.table("kept")) == [("2", "y", 2)]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    none = spark.sparkContext._jvm.java.util.ArrayList
+    doubles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none(), False, False, doubles, none())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_saving_attachments_shuffles_names_only(spark, tmp_path):
+    data = F.concat(*[F.sha2(F.concat("entity_id", F.lit(str(i))).cast("binary"), 512) for i in range(50)]).cast("binary")
+    blobs = spark.range(500).select(F.col("id").cast("string").alias("entity_id"), F.lit("a").alias("name")).withColumn("data", data).withColumn("content_type", F.lit("t"))
+    blobs.write.parquet(f"{tmp_path}/blobs")  # 3 MB
+    blobs, s = spark.read.parquet(f"{tmp_path}/blobs"), Session(Store(spark, f"{tmp_path}/store"), [])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        before = shuffled(spark)
+        for rows in (blobs, blobs.filter("entity_id < 250")):
+            s.attachments().store_all(rows)
+            s.save()
+        assert shuffled(spark) - before < 500_000
+        found = s.attachments().all().filter("complete").select(F.col("metadata.EntityId").alias("entity_id"), "data")
+        assert found.join(blobs, ["entity_id", "data"]).count() == found.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
