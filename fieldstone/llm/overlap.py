@@ -6,7 +6,8 @@ and digits; a text of fewer words is one shingle) have a Jaccard similarity of a
 1. Candidates.  Of two such sets of n and m shingles each holds ``least`` of the other's, so in any one
    order of all shingles they share one among the first ``n - ceil(least * n) + 1`` of each.  Only these are
    dealt out.  Frequent shingles, counted over all texts, come last in the order, so that passages many
-   texts share are dealt only where little else is in a text.
+   texts share are dealt only where little else is in a text.  Of two near copies' common shingles the first in that order
+   has enough shingles behind it, in either text, for all that they must share; other pairs are not made.
 2. Filter.  A text's parity bits (one per shingle, at least) differ from another's in no more places than the
    sets do, so pairs that differ in more than a Jaccard similarity of ``least`` allows are dropped.
 3. Check.  The remaining pairs' similarity is computed from their texts.
@@ -37,7 +38,7 @@ LEAST = 0.8
 WIDTH = 5
 TOGETHER = 1 << 21  # shingles of texts that are counted together
 FREQUENT = 100_000  # frequent shingles told apart, at most
-FLUSH = 1 << 17
+FLUSH = 1 << 15  # pairs that a task holds before they are written
 MINIMA = 6
 
 
@@ -117,9 +118,9 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
 
 
-def candidate_pairs(token: np.ndarray, k: np.ndarray, n: np.ndarray, label: np.ndarray, least: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs in rows sorted by (token, n): of one token, sizes that allow ``least``, different labels.
-    Without ``every`` only pairs with the first of each run of such sizes."""
+def candidate_pairs(token: np.ndarray, k: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.ndarray, least: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs in rows sorted by (token, n): of one token, sizes that allow ``least``, different labels, and, of the
+    shingles from the token on (``left``), in both enough to share.  Without ``every`` only pairs with the first of each run of such sizes."""
     starts = np.concatenate(([0], np.flatnonzero(np.diff(token)) + 1))
     ends = np.append(starts[1:], len(token))
     mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
@@ -129,13 +130,14 @@ def candidate_pairs(token: np.ndarray, k: np.ndarray, n: np.ndarray, label: np.n
             end = s + int(np.searchsorted(sizes * least, n[i] + 1e-9, "right"))
             near = np.arange(i + 1, end)
             near = near[label[near] != label[i]]
+            near = near[np.minimum(left[near], left[i]) >= (n[near] + n[i]) * (least / (1 + least)) - 1e-6]
             if len(near):
                 yield np.full(len(near), i), near
             i = i + 1 if every else max(end, i + 1)
 
 
 def _paired(entries: DataFrame, least: float, every: bool) -> DataFrame:
-    """From (token, k, n, label): distinct candidate pairs (a, b, la, lb)."""
+    """From (token, k, n, label, left): distinct candidate pairs (a, b, la, lb)."""
     keyed = entries.repartition("token").sortWithinPartitions("token", "n", "k")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,7 @@ def _paired(entries: DataFrame, least: float, every: bool) -> DataFrame:
             rows = np.unique(np.stack((k[i], k[j], label[i], label[j])), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "b", "la", "lb"])
 
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 5
         waiting: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
@@ -176,7 +178,7 @@ def _paired(entries: DataFrame, least: float, every: bool) -> DataFrame:
         if len(held[0]):
             yield from pairs(held)
 
-    return keyed.select("token", "k", "n", "label").mapInArrow(search, "a long, b long, la long, lb long").distinct()
+    return keyed.select("token", "k", "n", "label", "left").mapInArrow(search, "a long, b long, la long, lb long").distinct()
 
 
 def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float = LEAST) -> DataFrame:
@@ -216,7 +218,8 @@ def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float =
     side = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     for every in (False, True):
         named = sets.join(names, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        entries = named.select(F.explode("first" if every else "minima").alias("token"), "k", F.col("n").cast("long").alias("n"), "label")
+        dealt = named.select("k", F.col("n").cast("long").alias("n"), "label", F.posexplode("first" if every else "minima").alias("at", "token"))
+        entries = dealt.select("token", "k", "n", "label", (F.col("n") - F.col("at") if every else F.col("n")).alias("left"))
         pairs = settle(_paired(entries, least, every), "pairs")
         near = settle(pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be("na", "pa", "nb", "pb")).select("a", "b", "la", "lb"), "near")
         keys = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()

@@ -50,3 +50,27 @@ def test_stage_drops_near_copies_beyond_the_radius(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert beyond > 20 and kept == {find(i) for i in range(len(texts))}
+
+
+def test_pairs_without_enough_to_share_are_not_made():
+    """Every pair as alike as asked for is a candidate by its first common shingle; many others, sharing a late one, are not."""
+    rng = np.random.default_rng(5)
+    none, order = np.zeros(0, np.uint64), rng.permutation(1 << 14).astype(np.uint64)
+    sets = [np.sort(rng.choice(order, 100, replace=False)) for _ in range(60)]
+    for s in sets[:20]:
+        sets += [np.unique(np.concatenate((s[:-k], rng.integers(1 << 20, 1 << 21, k, dtype=np.uint64)))) for k in (3, 8, 10, 11, 12, 20)]
+    rows = []
+    for k, s in enumerate(sets):
+        first = overlap.first_shingles(s, none, np.zeros(0, np.int64), 0.8)
+        rows += [(int(t), k, len(s), k, len(s) - at) for at, t in enumerate(first)]
+    rows = np.array(sorted(rows, key=lambda r: (r[0], r[2], r[1]))).T
+    pairs = {tuple(sorted((int(rows[1][i]), int(rows[1][j])))) for x, y in overlap.candidate_pairs(*rows, 0.8, True) for i, j in zip(x, y)}
+    alike, share = set(), set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                alike.add((i, j))
+            if np.intersect1d(overlap.first_shingles(sets[i], none, none, 0.8), overlap.first_shingles(sets[j], none, none, 0.8)).size:
+                share.add((i, j))
+    assert len(alike) > 50 and alike <= pairs and len(pairs) < 0.75 * len(share)
