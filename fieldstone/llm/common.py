@@ -34,6 +34,12 @@ def in_slices(batches: Iterator, rows: int = SLICE) -> Iterator:
             yield tuple(a.slice(at, rows).to_pylist() for a in batch) if many else batch.slice(at, rows).to_pylist()
 
 
+def once(udf):
+    """The function, for results that rows are then filtered by.  The planner would put such a filter below them, and run the
+    function for it and again for its result, in twice as many Python workers; one it takes for non-deterministic it leaves in place."""
+    return udf.asNondeterministic()
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have in any case."""
     taken = {c.lower() for c in df.columns}

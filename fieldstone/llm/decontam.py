@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, in_slices, settle
+from .common import discard, fresh, in_slices, once, settle
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
@@ -247,7 +247,7 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item
             yield pa.array(out, pa.list_(pa.int64()))
 
     # A pair needs ``need`` occurrences of seeds, so at least as many different ones as the least need / n.
-    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("doc")).withColumn("hits", passing("doc")).filter(F.size("hits") >= (least or 1))
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("doc")).withColumn("hits", once(passing)("doc")).filter(F.size("hits") >= (least or 1))
     read = settle(read.withColumn("doc_row", F.monotonically_increasing_id()), "seeded")
     hits = read.select("doc_row", F.explode("hits").alias("seed"))
     parts = probes(seeds, hits).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -270,7 +270,7 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item
             yield pa.StructArray.from_arrays([pa.array([sum(n for _, _, n in t) for t in got], pa.int32()), pa.array([len(t) for t in got], pa.int32())], ["covered", "tiles"])
 
     both = read.select("doc_row", "doc_id", "doc").join(pairs, "doc_row").join(items.select("item_row", "item_id", "item", "words"), "item_row")
-    done = both.select("doc_id", "item_id", F.col("words").alias("item_words"), F.xxhash64("doc").alias("one"), F.hash("doc").alias("two"), tiled("item", "doc").alias("t"))
+    done = both.select("doc_id", "item_id", F.col("words").alias("item_words"), F.xxhash64("doc").alias("one"), F.hash("doc").alias("two"), once(tiled)("item", "doc").alias("t"))
     share = F.col("t.covered") / F.col("item_words")
     out = done.select("doc_id", "item_id", "item_words", F.col("t.covered").alias("covered_words"), F.col("t.tiles").alias("tiles"), share.alias("coverage"), "one", "two")
     out = settle(out.filter(F.col("coverage") >= threshold), "leaks")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, in_slices, settle
+from .common import discard, in_slices, once, settle
 from .decontam import WordHashes, rolling
 from .simhash import connected
 
@@ -213,7 +213,7 @@ def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float =
                 out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.array(out, pa.bool_())
 
-    sets = texts.select("k", described("text").alias("s")).filter("s.n > 0").dropDuplicates(["k"])
+    sets = texts.select("k", once(described)("text").alias("s")).filter("s.n > 0").dropDuplicates(["k"])
     sets = settle(sets.join(nodes, "k").select("k", "node", "s.*"), "sets")
     side = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     for every in (False, True):
