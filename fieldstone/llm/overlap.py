@@ -7,15 +7,16 @@ and digits; a text of fewer words is one shingle) have a Jaccard similarity of a
    order of all shingles they share one among the first ``n - ceil(least * n) + 1`` of each.  Only these are
    dealt out.  Frequent shingles, counted over all texts, come last in the order, so that passages many
    texts share are dealt only where little else is in a text.  Of two near copies' common shingles the first in that order
-   has enough shingles behind it, in either text, for all that they must share; other pairs are not made.
+   has enough shingles behind it, in either text, for all that they must share; other pairs are not made.  Most shingles are
+   in one text only, so they are first dealt in packed rows, by ranges of hashes, and only those go on that some pair may come from.
 2. Filter.  A text's parity bits (one per shingle, at least) differ from another's in no more places than the
    sets do, so pairs that differ in more than a Jaccard similarity of ``least`` allows are dropped.
 3. Check.  The remaining pairs' similarity is computed from their texts.
 
-Pairs already in one component need no link.  A first round deals each text by ``MINIMA`` minima of hashes of its
-shingles, which two near copies seldom all differ in, and tries the shortest text of each with the others: that is
-linear, and joins most of what belongs together.  The second deals the first shingles as above and tries all pairs of
-texts that are still in different components.
+Pairs already in one component need no link.  Of a large group of near copies even the pairs that are alike grow with the
+square of its size, so up to ``TURNS`` linear turns come first, each of which tries every dealt shingle's text with
+``TRIES`` others that share it, drawn anew by hash in each turn: they join nearly all that belongs together, as random
+edges join a graph.  The last turn tries all pairs of texts that are still in different components.
 
 Defined results: null and empty texts have no shingles and are not linked here; equal texts are one
 text; a shingle counts once however often it is repeated.
@@ -39,7 +40,15 @@ WIDTH = 5
 TOGETHER = 1 << 21  # shingles of texts that are counted together
 FREQUENT = 100_000  # frequent shingles told apart, at most
 FLUSH = 1 << 15  # pairs that a task holds before they are written
-MINIMA = 6
+SHARD = 1 << 18  # first shingles that are searched together for repeated ones
+TURNS = 4
+TRIES = 2
+WORTH = 0.01  # links by pair that a linear turn must find for another one
+
+
+def within(na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """In how many shingles at most sets of these sizes differ if they are as alike as ``least``."""
+    return (na + nb) * (1 - least) / (1 + least) + 1e-9
 
 
 def shingles(known: WordHashes, text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -57,16 +66,6 @@ def first_shingles(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray, le
     return found[np.argsort(place, kind="stable")][: len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1]
 
 
-MIXERS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64) | 1 for j in range(1, MINIMA + 1)], np.uint64)
-
-
-def minima(found: np.ndarray) -> np.ndarray:
-    """The least of the hashes under each mixer."""
-    mixed = found[None, :] * MIXERS[:, None]
-    mixed ^= mixed >> np.uint64(31)
-    return (mixed * np.uint64(0xD6E8FEB86659FD93)).min(axis=1)
-
-
 def parity(found: np.ndarray) -> bytes:
     """As many bits as shingles, rounded up to a power of two of at least 64: bit b says if an odd number of hashes end in b."""
     bits = max(64, 1 << (len(found) - 1).bit_length())
@@ -118,49 +117,162 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
 
 
-def candidate_pairs(token: np.ndarray, k: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.ndarray, least: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def parity_distances(parities: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``parity_distance`` of the parities at places i and j."""
+    size = np.fromiter(map(len, parities), np.int64, len(parities))
+    out = np.zeros(len(i), np.int64)
+    i, j = np.where(size[i] < size[j], i, j), np.where(size[i] < size[j], j, i)
+    for a, b in np.unique(np.stack((size[i], size[j])), axis=1).T.tolist():
+        at = np.flatnonzero((size[i] == a) & (size[j] == b))
+        for s in range(0, len(at), 4096):
+            some = at[s : s + 4096]
+            x, y = (np.frombuffer(b"".join(parities[of[some]]), np.uint64).reshape(len(some), -1) for of in (i, j))
+            y = np.bitwise_xor.reduce(y.reshape(len(some), -1, a // 8), axis=1)
+            out[some] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
+def may_pair(token: np.ndarray, n: np.ndarray, left: np.ndarray, least: float) -> np.ndarray:
+    """Which of the rows, sorted by (token, n), have another of the same token with which, of the shingles from the token on
+    (``left``), both have enough to share.  Row i goes with sizes up to ``up[i]``, and j is such a one for i if n[j] <= up[i] and n[i] <= up[j]."""
+    if not len(token):
+        return np.zeros(0, bool)
+    up = np.floor((left + 1e-5) * ((1 + least) / least)).astype(np.int64) - n
+    base = np.concatenate(([0], np.cumsum(np.diff(token) != 0))) * (4 * int(n.max()) + 4)
+    most = np.maximum.accumulate(base + up)
+    second = np.maximum.accumulate(np.minimum(base + up, np.append(-1, most[:-1])))
+    upto = np.searchsorted(base + n, base + up, "right")
+    best = np.where(up >= n, second[upto - 1], most[upto - 1])  # without the row itself
+    return (upto > 0) & (best >= base + n)
+
+
+def candidate_pairs(token: np.ndarray, k: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.ndarray, least: float, every: bool, turn: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs in rows sorted by (token, n): of one token, sizes that allow ``least``, different labels, and, of the
-    shingles from the token on (``left``), in both enough to share.  Without ``every`` only pairs with the first of each run of such sizes."""
+    shingles from the token on (``left``), in both enough to share.  Without ``every`` only pairs of each row with the ``TRIES``
+    next ones of about its size, in an order by a hash of text, token and ``turn``."""
+
+    def fit(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        return (label[j] != label[i]) & (np.minimum(left[j], left[i]) >= (n[j] + n[i]) * (least / (1 + least)) - 1e-6)
+
+    if not every:
+        drawn = (k.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) % (1 << 64)) ^ token.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        order = np.lexsort((drawn ^ (drawn >> np.uint64(31)), np.floor(np.log(n) / np.log(1 / least) * 2 + turn / 3), token))
+        for d in range(1, TRIES + 1):
+            i, j = order[:-d], order[d:]
+            near = (token[i] == token[j]) & fit(i, j)
+            yield i[near], j[near]
+        return
     starts = np.concatenate(([0], np.flatnonzero(np.diff(token)) + 1))
     ends = np.append(starts[1:], len(token))
     mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
     for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-        sizes, i = n[s:e], s
-        while i < e - 1:
-            end = s + int(np.searchsorted(sizes * least, n[i] + 1e-9, "right"))
-            near = np.arange(i + 1, end)
-            near = near[label[near] != label[i]]
-            near = near[np.minimum(left[near], left[i]) >= (n[near] + n[i]) * (least / (1 + least)) - 1e-6]
+        sizes = n[s:e]
+        for i in range(s, e - 1):
+            near = np.arange(i + 1, s + int(np.searchsorted(sizes * least, n[i] + 1e-9, "right")))
+            near = near[fit(i, near)]
             if len(near):
                 yield np.full(len(near), i), near
-            i = i + 1 if every else max(end, i + 1)
 
 
-def _paired(entries: DataFrame, least: float, every: bool) -> DataFrame:
-    """From (token, k, n, label, left): distinct candidate pairs (a, b, la, lb)."""
+def _entries(sets: DataFrame, least: float) -> DataFrame:
+    """From (k, n, first), copies included: (token, k, n, left) of all first shingles that some pair may come from; settled.  They
+    are dealt in rows of many, of which each text's stand together, and those of equal ranges of hashes meet."""
+    shards = max(1, int((sets.agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0) / SHARD))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        size = 0
+
+        def cut() -> pa.RecordBatch:
+            k, n, many, token = (np.concatenate(x) for x in zip(*waiting))
+            at = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
+            text = np.repeat(np.arange(len(k)), many)
+            shard = ((token.view(np.uint64) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            shard, text = shard[order], text[order]
+            edge = np.flatnonzero(np.diff(shard)) + 1
+            run = np.concatenate(([0], np.flatnonzero((np.diff(shard) != 0) | (np.diff(text) != 0)) + 1))
+            starts = np.concatenate(([0], edge))
+            of_run = np.append(np.searchsorted(run, starts), len(run)).astype(np.int32)
+            of_all = np.append(starts, len(shard)).astype(np.int32)
+            lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))
+            most = np.minimum(at[order], np.iinfo(np.int16).max).astype(np.int16)  # a lower place than the true one only lets more pairs through
+            columns = [lists(of_run, k[text[run]]), lists(of_run, n[text[run]]), lists(of_run, np.diff(np.append(run, len(shard))).astype(np.int32)), lists(of_all, token[order]), lists(of_all, most)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[starts]), *columns], ["shard", "k", "n", "many", "token", "at"])
+
+        for batch in batches:
+            first = batch.column(2)
+            for s in range(0, len(first), 1024):
+                some = first.slice(s, 1024)
+                many = np.diff(some.offsets.to_numpy())
+                waiting.append([*(batch.column(c).slice(s, 1024).to_numpy(zero_copy_only=False) for c in (0, 1)), many, some.flatten().to_numpy(zero_copy_only=False)])
+                size += len(waiting[-1][3])
+                if size > TOGETHER // 2:
+                    yield cut()
+                    waiting, size = [], 0
+        if size:
+            yield cut()
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        now = None
+
+        def found() -> pa.RecordBatch:
+            k, n, token, at = (np.concatenate(x) for x in zip(*waiting))
+            order = np.lexsort((k, n, token))
+            k, n, token, at = (x[order] for x in (k, n, token, at))
+            one = np.append(True, (np.diff(token) != 0) | (np.diff(k) != 0))  # copies are one text
+            k, n, token, left = k[one], n[one].astype(np.int64), token[one], (n - at)[one].astype(np.int64)
+            keep = may_pair(token, n, left, least)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, k, n, left)], ["token", "k", "n", "left"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                shard = batch.column(0)[r].as_py()
+                if shard != now and waiting:
+                    yield found()
+                    waiting = []
+                now = shard
+                k, n, many, token, at = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in range(1, 6))
+                waiting.append([np.repeat(k, many), np.repeat(n, many), token, at.astype(np.int32)])
+        if waiting:
+            yield found()
+
+    dealt = sets.select("k", "n", "first").mapInArrow(packed, "shard long, k array<long>, n array<int>, many array<int>, token array<long>, at array<short>")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
+    return settle(dealt.mapInArrow(repeated, "token long, k long, n long, left long"), "entries")
+
+
+def _paired(entries: DataFrame, least: float, every: bool, turn: int) -> DataFrame:
+    """From (token, k, n, label, left): distinct candidate pairs (a, b, la, lb); if all are tried, from parities, too, and only
+    pairs that the filter lets through."""
+    columns = ["token", "k", "n", "label", "left"] + ["parity"] * every
     keyed = entries.repartition("token").sortWithinPartitions("token", "n", "k")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            k, label = rows[1], rows[3]
             some: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
-            for pair in candidate_pairs(*rows, least, every):
+            for pair in candidate_pairs(*rows[:5], least, every, turn):
                 some.append(pair)
                 size += len(pair[0])
                 if size > FLUSH:
-                    yield made(some, k, label)
+                    yield made(some, rows)
                     some, size = [], 0
             if some:
-                yield made(some, k, label)
+                yield made(some, rows)
 
-        def made(some: list[tuple[np.ndarray, np.ndarray]], k: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        def made(some: list[tuple[np.ndarray, np.ndarray]], rows: list[np.ndarray]) -> pa.RecordBatch:
             i, j = (np.concatenate(x) for x in zip(*some))
+            k, n, label = rows[1:4]
+            if every:
+                near = parity_distances(rows[5], i, j) <= within(n[i], n[j], least)
+                i, j = i[near], j[near]
             i, j = np.where(k[i] < k[j], i, j), np.where(k[i] < k[j], j, i)
             rows = np.unique(np.stack((k[i], k[j], label[i], label[j])), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "b", "la", "lb"])
 
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, object)] * every
         waiting: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
@@ -178,7 +290,7 @@ def _paired(entries: DataFrame, least: float, every: bool) -> DataFrame:
         if len(held[0]):
             yield from pairs(held)
 
-    return keyed.select("token", "k", "n", "label", "left").mapInArrow(search, "a long, b long, la long, lb long").distinct()
+    return keyed.select(*columns).mapInArrow(search, "a long, b long, la long, lb long").distinct()
 
 
 def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float = LEAST) -> DataFrame:
@@ -186,21 +298,19 @@ def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float =
     ones: the roots after all near copies are joined, too.  Discards ``names``."""
     told = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
-    @F.arrow_udf("n int, first array<long>, minima array<long>, parity binary")
+    @F.arrow_udf("n int, first array<long>, parity binary")
     def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordHashes()
         for some in in_slices(batches):
             sets = [shingles(known, t) for t in some]
             first = [first_shingles(s, *told.value, least).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            least_of = [minima(s).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, least_of)]
-            yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()), *lists, pa.array([parity(s) if len(s) else b"" for s in sets], pa.binary())], ["n", "first", "minima", "parity"])
+            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([parity(s) if len(s) else b"" for s in sets], pa.binary())]
+            yield pa.StructArray.from_arrays(columns, ["n", "first", "parity"])
 
     @F.arrow_udf("boolean")
     def may_be(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for na, xs, nb, ys in in_slices(batches, 4096):
-            most = (np.array(na) + np.array(nb)) * (1 - least) / (1 + least) + 1e-9
-            yield pa.array(np.array([parity_distance(x, y) for x, y in zip(xs, ys)]) <= most)
+            yield pa.array(np.array([parity_distance(x, y) for x, y in zip(xs, ys)]) <= within(np.array(na), np.array(nb), least))
 
     @F.arrow_udf("boolean")
     def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -213,22 +323,29 @@ def joined(texts: DataFrame, nodes: DataFrame, names: DataFrame, least: float =
                 out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.array(out, pa.bool_())
 
-    sets = texts.select("k", once(described)("text").alias("s")).filter("s.n > 0").dropDuplicates(["k"])
-    sets = settle(sets.join(nodes, "k").select("k", "node", "s.*"), "sets")
-    side = lambda x: sets.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-    for every in (False, True):
-        named = sets.join(names, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        dealt = named.select("k", F.col("n").cast("long").alias("n"), "label", F.posexplode("first" if every else "minima").alias("at", "token"))
-        entries = dealt.select("token", "k", "n", "label", (F.col("n") - F.col("at") if every else F.col("n")).alias("left"))
-        pairs = settle(_paired(entries, least, every), "pairs")
-        near = settle(pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be("na", "pa", "nb", "pb")).select("a", "b", "la", "lb"), "near")
+    sets = settle(texts.select("k", once(described)("text").alias("s")).filter("s.n > 0").select("k", "s.*"), "sets")
+    entries = _entries(sets, least)
+    known = settle(sets.select("k", "n", "parity").dropDuplicates(["k"]).join(nodes, "k"), "known")
+    discard(sets)
+    side = lambda x: known.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    turn, every = 0, False
+    while True:
+        carried = ["parity"] * every  # in the last turn pairs are filtered where they are made
+        labels = settle(known.select("k", "node", *carried).join(names, "node", "left").select("k", F.coalesce("root", "node").alias("label"), *carried), "labels")
+        pairs = settle(_paired(entries.join(labels, "k"), least, every, turn), "pairs")
+        near = pairs if every else settle(pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be("na", "pa", "nb", "pb")).select("a", "b", "la", "lb"), "near")
         keys = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
         held = settle(texts.join(keys, "k", "left_semi").dropDuplicates(["k"]), "held")
         whole = near.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b")
         found = settle(whole.filter(alike("ta", "tb")).select("la", "lb").distinct(), "found")
-        if not found.isEmpty():
+        links, tried = found.count(), pairs.count()
+        if links:
             last, names = names, connected(names.union(found).toDF("a", "b"))
             discard(last)
-        discard(pairs, near, held, found)
-    discard(sets)
+        discard(labels, pairs, near, held, found)
+        if every:
+            break
+        turn += 1
+        every = turn == TURNS or links <= WORTH * tried
+    discard(entries, known)
     return names
